@@ -54,3 +54,15 @@ def any_null(columns: Iterable[str]) -> Column:
     for c in columns:
         out = out | F.col(c).isNull()
     return out
+
+
+def wall_micros(df: DataFrame, column: str) -> Column:
+    """Microseconds since 1970 of a date or timestamp, by the clock it shows for types without a time zone."""
+    kind, c = df.schema[column].dataType, F.col(column)
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(c)
+    days = F.unix_date(c.cast("date")).cast("bigint") * 86_400_000_000
+    if isinstance(kind, T.DateType):
+        return days
+    seconds = F.hour(c) * 3600 + F.minute(c) * 60 + F.date_part(F.lit("SECOND"), c)
+    return days + (seconds * 1_000_000).cast("bigint")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.functions.columns import wall_micros
 from cleanloom.operators.features import rank_within
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping
@@ -59,7 +60,7 @@ def partition_pairs(df: DataFrame, keys: Sequence[str], values: Sequence[str], p
 
 def partition_midpoints(df: DataFrame, keys: Sequence[str], time: str, partition: str = "partition_id") -> DataFrame:
     """Middle of the time span of every partition, in microseconds, and its row count."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
+    micros = wall_micros(df, time)
     low, high = F.min(micros), F.max(micros)
     return df.groupBy(*keys, partition).agg(
         (low + F.floor((high - low) / 2)).alias("mid"), F.count(F.lit(1)).alias("n_rows")

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cleanloom.functions.columns import wall_micros
 from cleanloom.session import cut
 
 SPLIT_LEVELS = 8
@@ -41,10 +42,8 @@ def _sortable_numbers(df: DataFrame, order_by: Sequence[str]) -> list[tuple[Colu
     out: list[tuple[Column, bool]] = []
     for name in order_by:
         kind, c = df.schema[name].dataType, F.col(name)
-        if isinstance(kind, T.TimestampType):
-            out.append((F.unix_micros(c).cast("double"), True))
-        elif isinstance(kind, T.DateType):
-            out.append((F.unix_date(c).cast("double"), True))
+        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
+            out.append((wall_micros(df, name).cast("double"), True))
         elif isinstance(kind, T.StringType):
             # two code points per number; the empty tail counts as zero
             for i in range(1, TEXT_PREFIX, 2):
