@@ -7,48 +7,41 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.operators.options import Option, run
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping
 
 
+def uniform_option(n: int) -> Option:
+    """Equal-width bins between the smallest and the largest training value."""
+
+    def apply(x: Column, name: str) -> Column:
+        step = (F.col(f"{name}_hi") - F.col(f"{name}_lo")) / n
+        raw = ((x - F.col(f"{name}_lo")) / (step + 1e-12)).cast("bigint")
+        return F.when(raw.isNotNull(), F.least(F.lit(n - 1), F.greatest(F.lit(0), raw))).cast("int")
+
+    return Option(f"uniform_{n}", [lambda x, name: {f"{name}_lo": st.low(x), f"{name}_hi": st.high(x)}], apply)
+
+
+def quantile_option(n: int) -> Option:
+    """Bins cut at every ``round(N / n)``-th sorted training value; the bin is the number of cuts below the value."""
+
+    def apply(x: Column, name: str) -> Column:
+        below = F.coalesce(F.size(F.filter(F.col(f"{name}_cuts"), lambda cut: cut < x)), F.lit(0))
+        return F.when(x.isNotNull(), F.least(F.lit(n - 1), below)).cast("int")
+
+    return Option(f"quantile_{n}", [lambda x, name: {f"{name}_cuts": st.cuts(x, n)}], apply)
+
+
 def uniform_bins(
     df: DataFrame, keys: Sequence[str] | Grouping, columns: Sequence[str], n: int, is_train: Column | None = None
 ) -> DataFrame:
-    """B1. Equal-width bins 0..n-1 between the smallest and largest training value."""
-    g = grouping(df, keys)
-    train = F.lit(True) if is_train is None else is_train
-    specs = {}
-    for c in columns:
-        specs[f"_lo_{c}"], specs[f"_hi_{c}"] = st.low(c).only(train), st.high(c).only(train)
-    out = g.with_stats(df, specs)
-    binned = {}
-    for c in columns:
-        step = (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) / n
-        raw = ((F.col(c) - F.col(f"_lo_{c}")) / (step + 1e-12)).cast("bigint")
-        binned[c] = F.when(raw.isNotNull(), F.least(F.lit(n - 1), F.greatest(F.lit(0), raw))).cast("int")
-    return out.withColumns(binned).drop(*specs)
+    """B1. Equal-width bins 0..n-1."""
+    return run(df, grouping(df, keys), {c: (c, uniform_option(n)) for c in columns}, is_train)
 
 
 def quantile_bins(
     df: DataFrame, keys: Sequence[str] | Grouping, columns: Sequence[str], n: int, is_train: Column | None = None
 ) -> DataFrame:
-    """B2. Bins cut at every ``round(N / n)``-th sorted training value; the bin is the number of cuts below the value."""
-    g = grouping(df, keys)
-    train = F.lit(True) if is_train is None else is_train
-    out = df
-    for c in columns:
-        sorted_values = g.number(df.where(train & F.col(c).isNotNull()).select(*g.keys, c), [c])
-        step = F.greatest(F.lit(1), F.bround(F.col("_n") / n).cast("bigint"))
-        # at most 2n cuts per group
-        cuts = (
-            sorted_values.where((F.col("_rn") % step == 0) & (F.col("_rn") < F.col("_n")))
-            .groupBy(*g.keys)
-            .agg(F.array_sort(F.collect_list(c)).alias("_cuts"))
-        )
-        out = g.attach(out, cuts)
-        below = F.size(F.filter("_cuts", lambda cut: cut < F.col(c)))
-        known = F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)
-        out = out.withColumn(f"_bin_{c}", F.when(F.col(c).isNotNull(), F.least(F.lit(n - 1), known)).cast("int")).drop(
-            "_cuts"
-        )
-    return out.withColumns({c: F.col(f"_bin_{c}") for c in columns}).drop(*[f"_bin_{c}" for c in columns])
+    """B2. Equally filled bins 0..n-1."""
+    return run(df, grouping(df, keys), {c: (c, quantile_option(n)) for c in columns}, is_train)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import any_null
+from cleanloom.operators.options import Option, run
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping
 from cleanloom.plans.stats import Stat
@@ -17,13 +18,12 @@ from cleanloom.plans.stats import Stat
 MISSING_TEXT = "Missing"
 DUMMY_CATEGORY = "dummy_category"
 
+FILLS = {"mean": st.mean, "median": st.median, "mode": st.mode}
+
 
 def fill_stat(method: str, column: str | Column) -> Stat:
-    """The statistic behind a simple imputer. Unknown names are an error."""
-    makers = {"mean": st.mean, "median": st.median, "mode": st.mode}
-    if method not in makers:
-        raise ValueError(f"unknown imputer {method!r}; use one of {sorted(makers)}")
-    return makers[method](column)
+    """The statistic behind a simple imputer."""
+    return FILLS[method](column)
 
 
 def stat_value(method: str, name: str) -> Column:
@@ -31,6 +31,17 @@ def stat_value(method: str, name: str) -> Column:
     return F.col(name)[0] if method == "median" else F.col(name)
 
 
+def imputer_option(method: str) -> Option:
+    """Fill with a training statistic."""
+    if method not in FILLS:
+        raise ValueError(f"unknown imputer {method!r}; use one of {sorted(FILLS)}")
+    return Option(
+        method,
+        [lambda x, name: {f"{name}_fill": fill_stat(method, x)}],
+        lambda x, name: F.coalesce(x, stat_value(method, f"{name}_fill")),
+    )
+
+
 def impute(
     df: DataFrame,
     keys: Sequence[str] | Grouping,
@@ -42,11 +53,7 @@ def impute(
 
     ``mode`` also fills string columns, and numeric and string columns together (I12).
     """
-    g = grouping(df, keys)
-    train = F.lit(True) if is_train is None else is_train
-    out = g.with_stats(df, {f"_fill_{c}": fill_stat(method, c).only(train) for c in columns})
-    filled = {c: F.coalesce(F.col(c), stat_value(method, f"_fill_{c}")) for c in columns}
-    return out.withColumns(filled).drop(*[f"_fill_{c}" for c in columns])
+    return run(df, grouping(df, keys), {c: (c, imputer_option(method)) for c in columns}, is_train)
 
 
 def impute_constant(df: DataFrame, columns: Sequence[str], value: str = MISSING_TEXT) -> DataFrame:

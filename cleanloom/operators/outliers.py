@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.operators.impute import fill_stat, stat_value
+from cleanloom.operators.options import IDENTITY, Option, run
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping
 from cleanloom.plans.stats import Stat
@@ -95,6 +96,45 @@ def parse_rule(name: str) -> tuple[str, float]:
     return rule, float(width) if width else DEFAULT_WIDTHS[rule]
 
 
+def cleaner_option(name: str) -> Option:
+    """O4-O7. Cells outside the bounds of a rule get the mean of the training cells inside them.
+
+    ZS_k: mean +- k population deviations. IQR_k: quartiles +- k inter-quartile ranges. MAD_k: median +- k median
+    absolute deviations. A column without any cell inside the bounds is repaired with 0. ``identity`` changes nothing.
+    """
+    if name == "identity":
+        return IDENTITY
+    kind, k = parse_rule(name)
+
+    def bounds(p: str) -> tuple[Column, Column]:
+        a, b = F.col(f"{p}_a"), F.col(f"{p}_b")
+        if kind == "ZS":
+            return a - k * b, a + k * b
+        if kind == "IQR":
+            return a[0] - k * (a[1] - a[0]), a[1] + k * (a[1] - a[0])
+        return a[0] - k * b[0], a[0] + k * b[0]
+
+    def inside(x: Column, p: str) -> Column:
+        low, high = bounds(p)
+        return (x >= low) & (x <= high)
+
+    def first(x: Column, p: str) -> dict[str, Stat]:
+        if kind == "ZS":
+            return {f"{p}_a": st.mean(x), f"{p}_b": st.std(x)}
+        return {f"{p}_a": st.quantiles(x, [0.25, 0.75]) if kind == "IQR" else st.median(x)}
+
+    def spread(x: Column, p: str) -> dict[str, Stat]:
+        return {f"{p}_b": st.median(F.abs(x - F.col(f"{p}_a")[0]))}
+
+    def repair(x: Column, p: str) -> dict[str, Stat]:
+        return {f"{p}_in": st.mean(x).only(inside(x, p))}
+
+    def apply(x: Column, p: str) -> Column:
+        return F.when(x.isNull() | inside(x, p), x).otherwise(F.coalesce(F.col(f"{p}_in"), F.lit(0.0)))
+
+    return Option(name, [first, spread, repair] if kind == "MAD" else [first, repair], apply)
+
+
 def clean_outliers(
     df: DataFrame,
     keys: Sequence[str] | Grouping,
@@ -102,43 +142,5 @@ def clean_outliers(
     rule: str,
     is_train: Column | None = None,
 ) -> DataFrame:
-    """O4-O7. Replace cells outside the bounds of a rule by the mean of the training cells inside them.
-
-    ZS_k: mean +- k population deviations. IQR_k: quartiles +- k inter-quartile ranges. MAD_k: median +- k median
-    absolute deviations. A column without any cell inside the bounds is repaired with 0. ``identity`` changes nothing.
-    """
-    if rule == "identity":
-        return df
-    g = grouping(df, keys)
-    train = F.lit(True) if is_train is None else is_train
-    kind, k = parse_rule(rule)
-    first: dict[str, Stat] = {}
-    for c in columns:
-        if kind == "ZS":
-            first[f"_a_{c}"], first[f"_b_{c}"] = st.mean(c).only(train), st.std(c).only(train)
-        elif kind == "IQR":
-            first[f"_a_{c}"] = st.quantiles(c, [0.25, 0.75]).only(train)
-        else:
-            first[f"_a_{c}"] = st.median(c).only(train)
-    out = g.with_stats(df, first)
-    helpers = list(first)
-    if kind == "MAD":
-        away = {f"_b_{c}": st.median(F.abs(F.col(c) - F.col(f"_a_{c}")[0])).only(train) for c in columns}
-        out = g.with_stats(out, away)
-        helpers += list(away)
-    inside = {}
-    for c in columns:
-        a, b = F.col(f"_a_{c}"), F.col(f"_b_{c}")
-        if kind == "ZS":
-            low, high = a - k * b, a + k * b
-        elif kind == "IQR":
-            low, high = a[0] - k * (a[1] - a[0]), a[1] + k * (a[1] - a[0])
-        else:
-            low, high = a[0] - k * b[0], a[0] + k * b[0]
-        inside[c] = (F.col(c) >= low) & (F.col(c) <= high)
-    out = g.with_stats(out, {f"_in_{c}": st.mean(c).only(train & inside[c]) for c in columns})
-    repaired = {
-        c: F.when(F.col(c).isNull() | inside[c], F.col(c)).otherwise(F.coalesce(F.col(f"_in_{c}"), F.lit(0.0)))
-        for c in columns
-    }
-    return out.withColumns(repaired).drop(*helpers, *[f"_in_{c}" for c in columns])
+    """O4-O7 on ``columns``; see ``cleaner_option``."""
+    return run(df, grouping(df, keys), {c: (c, cleaner_option(rule)) for c in columns}, is_train)

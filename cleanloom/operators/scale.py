@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.operators.options import Option, run
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping
 from cleanloom.plans.stats import Stat
@@ -52,6 +53,10 @@ def _within(x: Column, low: float, high: float) -> Column:
     return F.when(x.isNotNull(), F.least(F.lit(high), F.greatest(F.lit(low), x)))
 
 
+def scaler_option(kind: str, clip: bool = True) -> Option:
+    return Option(kind, [lambda x, name: scale_stats(kind, x, name)], lambda x, name: scaled(kind, x, name, clip))
+
+
 def scale(
     df: DataFrame,
     keys: Sequence[str] | Grouping,
@@ -64,10 +69,4 @@ def scale(
 
     ``clip=False`` with MM is the plain min-max form that may leave [0, 1] outside the training rows (N-PRE).
     """
-    g = grouping(df, keys)
-    train = F.lit(True) if is_train is None else is_train
-    specs: dict[str, Stat] = {}
-    for c in columns:
-        specs.update({n: s.only(train) for n, s in scale_stats(kind, c, f"_sc_{c}").items()})
-    out = g.with_stats(df, specs)
-    return out.withColumns({c: scaled(kind, F.col(c), f"_sc_{c}", clip) for c in columns}).drop(*specs)
+    return run(df, grouping(df, keys), {c: (c, scaler_option(kind, clip)) for c in columns}, is_train)

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from cleanloom.plans.ordered import join_on, running_total
-from cleanloom.plans.stats import Stat
+from cleanloom.plans.stats import Stat, cut_step
 from cleanloom.session import cut
 
 # rows one task may sort for one group; about 200 MB of narrow rows
@@ -66,7 +66,8 @@ class Grouping:
         """One row per group: the key columns and one column per statistic."""
 
         def plain(rows: DataFrame) -> DataFrame:
-            return rows.groupBy(*self.keys).agg(*[s.aggregate().alias(n) for n, s in specs.items()])
+            found = rows.groupBy(*self.keys).agg(*[s.aggregate().alias(n) for n, s in specs.items()])
+            return found.select(*self.keys, *[s.finish(F.col(n)).alias(n) for n, s in specs.items()])
 
         def spread(rows: DataFrame) -> DataFrame:
             light = [s.aggregate().alias(n) for n, s in specs.items() if not s.needs_sorted_values]
@@ -76,7 +77,9 @@ class Grouping:
                     found = self._sorted_stat(rows, name, s)
                     # one row per hot key on both sides
                     out = join_on(out, found, self.keys, "left", small=True) if self.keys else _beside(out, found)
-            return out.select(*self.keys, *specs)
+            # no value at all gives an empty list of cuts on the plain path
+            empty = {n: F.coalesce(F.col(n), F.array()) for n, s in specs.items() if s.kind == "cuts"}
+            return out.withColumns(empty).select(*self.keys, *specs)
 
         return self._both(df, plain, spread)
 
@@ -93,6 +96,16 @@ class Grouping:
             return values.groupBy(*self.keys).agg(best.alias(name))
         placed = running_total(values, self.keys, ["_v"], self.max_rows, weight="_w")
         first = F.col("_upto") - F.col("_w")
+        if s.kind == "cuts":
+            step = cut_step(F.col("_total"), s.bins)
+            # multiples of step among the ranks this value covers, the last rank of the group excluded
+            hits = F.floor(F.least(F.col("_upto"), F.col("_total") - 1) / step) - F.floor(first / step)
+            return (
+                placed.where(hits > 0)
+                .select(*self.keys, F.explode(F.array_repeat("_v", hits.cast("int"))).alias("_v"))
+                .groupBy(*self.keys)
+                .agg(F.array_sort(F.collect_list("_v")).alias(name))
+            )
         picked, blended = [], []
         for i, share in enumerate(s.shares):
             at = F.lit(share) * (F.col("_total") - 1)
@@ -127,7 +140,7 @@ class Grouping:
         if self.is_bounded:
             # the rows of a bounded group already have to meet in one task, so no second shuffle and no join
             group = Window.partitionBy(*self.keys)
-            return df.select("*", *[s.aggregate().over(group).alias(n) for n, s in specs.items()])
+            return df.select("*", *[s.finish(s.aggregate().over(group)).alias(n) for n, s in specs.items()])
         return self.attach(df, self.stats(df, specs))
 
     # -- order --------------------------------------------------------------------------------------------------

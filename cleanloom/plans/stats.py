@@ -16,6 +16,7 @@ class Stat:
     kind: str
     column: Column
     shares: tuple[float, ...] = ()
+    bins: int = 0
 
     def only(self, condition: Column) -> Stat:
         """The same statistic over the rows where ``condition`` holds."""
@@ -24,7 +25,7 @@ class Stat:
     @property
     def needs_sorted_values(self) -> bool:
         """True when Spark's own aggregate would keep every distinct value of a group in one buffer."""
-        return self.kind in ("quantiles", "mode")
+        return self.kind in ("quantiles", "mode", "cuts")
 
     def aggregate(self) -> Column:
         c = self.column
@@ -46,8 +47,22 @@ class Stat:
             return F.percentile(c, list(self.shares))
         if self.kind == "mode":
             return F.mode(c, True)
+        if self.kind == "cuts":
+            return F.array_sort(F.collect_list(c))
         raise ValueError(f"unknown statistic {self.kind!r}")
 
+    def finish(self, value: Column) -> Column:
+        """What to keep of the aggregate."""
+        if self.kind != "cuts":
+            return value
+        n, step = F.size(value), cut_step(F.size(value), self.bins)
+        return F.filter(value, lambda _, i: ((i + 1) % step == 0) & (i + 1 < n))
+
+
+def cut_step(n: Column, bins: int) -> Column:
+    """Distance of the cut points of ``bins`` equally filled bins among n sorted values, at least 1."""
+    return F.greatest(F.lit(1), F.bround(n / bins).cast("bigint"))
+
 
 def mean(c: str | Column) -> Stat:
     return Stat("mean", as_column(c))
@@ -90,3 +105,8 @@ def median(c: str | Column) -> Stat:
 def mode(c: str | Column) -> Stat:
     """Most frequent value, the smallest one on ties."""
     return Stat("mode", as_column(c))
+
+
+def cuts(c: str | Column, bins: int) -> Stat:
+    """Every ``round(n / bins)``-th sorted value except the last one: at most 2 * bins of them."""
+    return Stat("cuts", as_column(c), bins=bins)

@@ -59,6 +59,8 @@ def test_stats(rows, keys):
         "n": st.count("v"),
         "q": st.quantiles("v", [0.1, 0.25, 0.5, 0.97]),
         "m": st.mode("v"),
+        "cuts": st.cuts("v", 5),
+        "many_cuts": st.cuts("t", 60),
         "mc": st.mode("c"),
         "even": st.quantiles("id", [0.03, 0.5]).only(F.col("id") % 2 == 0),
         "hi": st.high("v"),
