@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import random_order
 from cleanloom.operators.impute import fill_stat, stat_value
-from cleanloom.plans.grouping import Grouping, grouping
+from cleanloom.plans.grouping import Grouping, grouping, spread_by
+from cleanloom.session import cut
 
 # fixed values: the forest's usual size, and the score above which a value counts as an outlier
 TREES = 100
@@ -92,11 +93,12 @@ def repair_with_forest(
         first, bounds = outlier_bounds(np.sort(pdf["_v"].to_numpy(dtype=float)), seed)
         return pdf[by].head(1).assign(_first=[first], _bounds=pd.Series([bounds], index=pdf.index[:1], dtype=object))
 
-    fitted = pool.groupBy(*by).applyInPandas(fit, f"{key_types}, _first boolean, _bounds array<double>")
+    fitted = spread_by(pool, by).groupBy(*by).applyInPandas(fit, f"{key_types}, _first boolean, _bounds array<double>")
     wide = fitted.groupBy(*g.keys).agg(
         *[F.max(F.when(F.col("_c") == i, F.struct("_first", "_bounds"))).alias(f"_f{i}") for i in range(len(columns))]
     )
-    out = g.attach(df, wide)
+    # forests are costly to grow, so they are written once
+    out = g.attach(df, cut(wide))
     out = g.with_stats(out, {f"_fix{i}": fill_stat(repair, c).only(is_train) for i, c in enumerate(columns)})
     repaired = {}
     for i, c in enumerate(columns):

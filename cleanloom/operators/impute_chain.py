@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from cleanloom.functions.columns import any_null
 from cleanloom.plans import gram as G
 from cleanloom.plans import stats as st
-from cleanloom.plans.grouping import Grouping
+from cleanloom.plans.grouping import Grouping, spread_by
 from cleanloom.plans.nearest import BLOCK, nearest
 from cleanloom.plans.ordered import join_on
 from cleanloom.session import cut
@@ -94,7 +94,9 @@ def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
         mean, spread = _observed(np.where(train[:, None], x, np.nan))
         return pdf.assign(**dict(zip(columns, (chain_matrix((x - mean) / spread, train) * spread + mean).T, strict=True)))
 
-    return df.groupBy(*keys).applyInPandas(fill, df.schema)
+    return spread_by(df, keys).groupBy(*keys).applyInPandas(fill, df.schema) if keys else df.groupBy().applyInPandas(
+        fill, df.schema
+    )
 
 
 def _observed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

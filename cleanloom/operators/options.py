@@ -35,10 +35,17 @@ def run(
     df: DataFrame, g: Grouping, work: Mapping[str, tuple[str, Option]], is_train: Column | None = None
 ) -> DataFrame:
     """Set each column of ``work`` to an option applied to a source column: ``{new column: (source, option)}``."""
+    depth = max((len(o.passes) for _, o in work.values()), default=0)
+    if depth > 1:
+        return g.each(df, lambda rows, part: _run(rows, part, work, is_train, depth))
+    return _run(df, g, work, is_train, depth)
+
+
+def _run(df: DataFrame, g: Grouping, work: Mapping[str, tuple[str, Option]], is_train: Column | None, depth: int):
     train = F.lit(True) if is_train is None else is_train
     helpers: list[str] = []
     out = df
-    for level in range(max((len(o.passes) for _, o in work.values()), default=0)):
+    for level in range(depth):
         specs: dict[str, Stat] = {}
         for i, (source, option) in enumerate(work.values()):
             if level < len(option.passes):

@@ -32,7 +32,10 @@ def repair_with_fences(
     With mean and median the other splits are repaired with the statistic of the *already repaired* training column,
     as the training column is replaced first; the mode is taken once. Missing cells stay missing.
     """
-    g = grouping(df, keys)
+    return grouping(df, keys).each(df, lambda rows, g: _fences(rows, g, columns, repair, is_train, width))
+
+
+def _fences(df: DataFrame, g: Grouping, columns, repair: str, is_train: Column, width: float) -> DataFrame:
     out = g.with_stats(df, {f"_q_{c}": st.quantiles(c, [0.25, 0.75]).only(is_train) for c in columns})
     outside = {}
     for c in columns:
@@ -50,7 +53,10 @@ def repair_with_z_scores(
     limit: float = Z_LIMIT,
 ) -> DataFrame:
     """O3. Cells whose z score in their own split exceeds ``limit`` get a training statistic."""
-    g = grouping(df, keys)
+    return grouping(df, keys).each(df, lambda rows, g: _z_scores(rows, g, columns, repair, is_train, limit))
+
+
+def _z_scores(df: DataFrame, g: Grouping, columns, repair: str, is_train: Column, limit: float) -> DataFrame:
     specs = {}
     for c in columns:
         for side, rows in (("a", is_train), ("b", ~is_train)):

@@ -60,6 +60,10 @@ def apply_chains(
     Chains that begin with the same options on the same source share those columns, and each position of all chains
     is fitted together.
     """
+    return g.each(df, lambda rows, part: _apply_chains(rows, part, chains, is_train))
+
+
+def _apply_chains(df: DataFrame, g: Grouping, chains, is_train: Column | None) -> DataFrame:
     out = df
     made: dict[tuple, str] = {}
     depth = max((len(o) for _, o in chains.values()), default=0)

@@ -23,11 +23,21 @@ MAX_GROUP_ROWS = 2_000_000
 
 
 class Grouping:
-    def __init__(self, keys: Sequence[str], hot: DataFrame | None, bounded: bool, max_rows: int):
+    def __init__(
+        self,
+        keys: Sequence[str],
+        hot: DataFrame | None,
+        bounded: bool,
+        max_rows: int,
+        only_hot: bool = False,
+        cut_stats: bool = False,
+    ):
         self.keys = list(keys)
         self.hot = hot
         self.is_bounded = bounded
         self.max_rows = max_rows
+        self.only_hot = only_hot
+        self.cut_stats = cut_stats
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> Grouping:
@@ -48,7 +58,7 @@ class Grouping:
         """Rows of ordinary groups and rows of hot groups."""
         if self.hot is None:
             return df, None
-        if not self.keys:
+        if not self.keys or self.only_hot:
             return None, df
         return (
             join_on(df, self.hot.select(*self.keys), self.keys, "left_anti", small=True),
@@ -60,6 +70,23 @@ class Grouping:
         parts = ([plain(cold)] if cold is not None else []) + ([spread(hot)] if hot is not None else [])
         return reduce(DataFrame.unionByName, parts)
 
+    def each(self, df: DataFrame, work: Callable[[DataFrame, Grouping], DataFrame]) -> DataFrame:
+        """Run work of several fitting passes once on the rows of ordinary groups and once on those of hot groups.
+
+        Ordinary groups meet once by key and keep that partitioning through all passes. For hot groups, and without
+        keys, each pass writes its few statistics, so that the next pass does not repeat the ones before it.
+        """
+        if self.is_bounded or self.cut_stats:
+            return work(df, self)
+        if not self.keys:
+            return work(df, Grouping(self.keys, self.hot, False, self.max_rows, cut_stats=True))
+        cold, hot = self.split(df)
+        out = work(cold, Grouping.bounded(self.keys))
+        if hot is None:
+            return out
+        spread = Grouping(self.keys, self.hot, False, self.max_rows, only_hot=True, cut_stats=True)
+        return out.unionByName(work(hot, spread))
+
     # -- statistics ---------------------------------------------------------------------------------------------
 
     def stats(self, df: DataFrame, specs: Mapping[str, Stat]) -> DataFrame:
@@ -140,8 +167,11 @@ class Grouping:
         if self.is_bounded:
             # the rows of a bounded group already have to meet in one task, so no second shuffle and no join
             group = Window.partitionBy(*self.keys)
-            return df.select("*", *[s.finish(s.aggregate().over(group)).alias(n) for n, s in specs.items()])
-        return self.attach(df, self.stats(df, specs))
+            found = df.select("*", *[s.aggregate().over(group).alias(n) for n, s in specs.items()])
+            finished = {n: s.finish(F.col(n)) for n, s in specs.items() if s.kind == "cuts"}
+            return found.withColumns(finished) if finished else found
+        stats = self.stats(df, specs)
+        return self.attach(df, cut(stats) if self.cut_stats else stats)
 
     # -- order --------------------------------------------------------------------------------------------------
 
@@ -228,6 +258,12 @@ class Grouping:
         return self._both(df, plain, spread)
 
 
+def spread_by(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Bring groups together in the configured number of partitions. For costly work per row: adaptive execution would
+    merge partitions by their bytes and leave cores idle. Later steps with the same keys need no further shuffle."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def grouping(df: DataFrame, keys: Sequence[str] | Grouping) -> Grouping:
     return keys if isinstance(keys, Grouping) else Grouping.of(df, keys)
 

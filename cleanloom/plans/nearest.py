@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.plans.grouping import Grouping
+from cleanloom.plans.grouping import Grouping, spread_by
 from cleanloom.plans.ordered import join_on
 
 # donors (and queries) that meet in one task
@@ -132,7 +132,8 @@ def nearest(
 
 def _meet(queries: DataFrame, donors: DataFrame, by: Sequence[str], search, schema: str) -> DataFrame:
     # both sides often come from one table; toDF gives the right side columns of its own
-    return queries.groupBy(*by).cogroup(donors.toDF(*donors.columns).groupBy(*by)).applyInPandas(search, schema)
+    left, right = spread_by(queries, by), spread_by(donors.toDF(*donors.columns), by)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, schema)
 
 
 def _search(left: pd.DataFrame, right: pd.DataFrame, ids: list[str], names, order: list[str], k: int) -> pd.DataFrame:
