@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Estimator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
@@ -88,15 +89,17 @@ def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
     columns = list(columns)
     df = df.withColumns({c: F.col(c).cast("double") for c in columns})
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = pdf[columns].to_numpy(dtype=float)
-        train = pdf["_train"].to_numpy(dtype=bool)
+    def fill(rows: pa.Table) -> pa.Table:
+        x = np.column_stack([rows.column(c).to_numpy() for c in columns]).astype(float)
+        train = rows.column("_train").to_numpy().astype(bool)
         mean, spread = _observed(np.where(train[:, None], x, np.nan))
-        return pdf.assign(**dict(zip(columns, (chain_matrix((x - mean) / spread, train) * spread + mean).T, strict=True)))
+        filled = chain_matrix((x - mean) / spread, train) * spread + mean
+        for i, c in enumerate(columns):
+            rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(filled[:, i]))
+        return rows
 
-    return spread_by(df, keys).groupBy(*keys).applyInPandas(fill, df.schema) if keys else df.groupBy().applyInPandas(
-        fill, df.schema
-    )
+    placed = spread_by(df, keys) if keys else df
+    return placed.groupBy(*keys).applyInArrow(fill, df.schema)
 
 
 def _observed(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -199,9 +199,10 @@ class Grouping:
         order_by: Sequence[str | Column],
         before: int,
         after: int,
-        build: Callable[[WindowSpec], Mapping[str, Column]],
+        build: Callable[[DataFrame, WindowSpec], DataFrame],
     ) -> DataFrame:
-        """Add window columns that look at most ``before`` rows back and ``after`` rows ahead.
+        """Add window columns that look at most ``before`` rows back and ``after`` rows ahead. ``build`` gets the rows
+        and the ordered window of a group, and returns the rows with its columns added.
 
         Hot groups are cut into blocks of consecutive rows; each block also gets copies of its neighbours' edge rows,
         which are dropped after the window has run.
@@ -210,7 +211,7 @@ class Grouping:
 
         def plain(rows: DataFrame) -> DataFrame:
             ordered = Window.partitionBy(*self.keys).orderBy(*names)
-            return rows.select("*", *[c.alias(a) for a, c in build(ordered).items()])
+            return build(rows, ordered)
 
         def spread(rows: DataFrame) -> DataFrame:
             size = max(self.max_rows, before, after)
@@ -226,7 +227,7 @@ class Grouping:
             copies = placed.withColumn("_home", F.explode(homes)).withColumn("_block", F.col("_home.block"))
             ordered = Window.partitionBy(*self.keys, "_block").orderBy("_at")
             return (
-                copies.select("*", *[c.alias(a) for a, c in build(ordered).items()])
+                build(copies, ordered)
                 .where(F.col("_home.own"))
                 .drop("_upto", "_total", "_at", "_home", "_block")
             )

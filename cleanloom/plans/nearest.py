@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +116,7 @@ def nearest(
     id_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in queries.schema if f.name in (*keys, *row_id))
     schema = f"{id_types}, _target int, _found {FOUND}"
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, [*keys, *row_id], names, order, k)
 
     def plain(q: DataFrame, d: DataFrame) -> DataFrame:
@@ -133,21 +134,22 @@ def nearest(
 def _meet(queries: DataFrame, donors: DataFrame, by: Sequence[str], search, schema: str) -> DataFrame:
     # both sides often come from one table; toDF gives the right side columns of its own
     left, right = spread_by(queries, by), spread_by(donors.toDF(*donors.columns), by)
-    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(search, schema)
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(search, schema)
 
 
-def _search(left: pd.DataFrame, right: pd.DataFrame, ids: list[str], names, order: list[str], k: int) -> pd.DataFrame:
+def _matrix(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Columns of doubles as (rows, columns), NULL as NaN."""
+    return np.column_stack([table.column(n).to_numpy() for n in names]).astype(float)
+
+
+def _search(left: pa.Table, right: pa.Table, ids: list[str], names, order: list[str], k: int) -> pa.Table:
     coordinates, targets = names
-    if "_rn" in right:
-        right = right.sort_values("_rn")
-        position = right["_rn"].to_numpy()
-    else:
-        right = right.sort_values(order, na_position="first")
-        position = np.arange(1, len(right) + 1)
-    q, d = left[coordinates].to_numpy(dtype=float), right[coordinates].to_numpy(dtype=float)
-    wanted = left[targets].isna().to_numpy()
-    values = right[targets].to_numpy(dtype=float)
-    rows = {"at": [], "_target": [], "_found": []}
+    by = ["_rn"] if "_rn" in right.column_names else order
+    right = right.take(pc.sort_indices(right, [(c, "ascending") for c in by], null_placement="at_start"))
+    position = right.column("_rn").to_numpy() if by == ["_rn"] else np.arange(1, len(right) + 1)
+    q, d = _matrix(left, coordinates), _matrix(right, coordinates)
+    wanted, values = np.isnan(_matrix(left, targets)), _matrix(right, targets)
+    parts = []
     step = max(1, CELLS // max(1, len(d)))
     for start in range(0, len(q), step):
         distances = squared_distances(q[start : start + step], d)
@@ -157,20 +159,25 @@ def _search(left: pd.DataFrame, right: pd.DataFrame, ids: list[str], names, orde
             gaps = distances[here][:, usable]
             at = nearest_positions(gaps, k)
             near = np.take_along_axis(gaps, at, axis=1)
-            for i, r in enumerate(here):
-                rows["at"].append(start + r)
-                rows["_target"].append(t)
-                rows["_found"].append(
-                    [
-                        {"d": float(near[i, j]), "rn": int(position[usable[p]]), "v": float(values[usable[p], t])}
-                        for j, p in enumerate(at[i])
-                        if np.isfinite(near[i, j])
-                    ]
-                )
-    out = left[ids].iloc[rows["at"]].reset_index(drop=True)
-    return out.assign(
-        _target=pd.Series(rows["_target"], dtype="int32"), _found=pd.Series(rows["_found"], dtype=object)
-    )
+            seen = np.isfinite(near)
+            donors = usable[at[seen]]
+            found = pa.StructArray.from_arrays(
+                [
+                    pa.array(near[seen], pa.float64()),
+                    pa.array(position[donors].astype("int64"), pa.int64()),
+                    pa.array(values[donors, t], pa.float64()),
+                ],
+                names=["d", "rn", "v"],
+            )
+            ends = pa.array(np.concatenate([[0], np.cumsum(seen.sum(axis=1))]).astype("int32"))
+            rows = left.select(ids).take(pa.array(start + here))
+            rows = rows.append_column("_target", pa.array(np.full(len(here), t, "int32")))
+            parts.append(rows.append_column("_found", pa.ListArray.from_arrays(ends, found)))
+    if parts:
+        return pa.concat_tables(parts)
+    empty = left.select(ids).slice(0, 0).append_column("_target", pa.array([], pa.int32()))
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("rn", pa.int64()), ("v", pa.float64())]))
+    return empty.append_column("_found", pa.array([], kind))
 
 
 def _blocked(g: Grouping, queries, donors, names, order, row_id, schema, k) -> DataFrame:
@@ -186,7 +193,7 @@ def _blocked(g: Grouping, queries, donors, names, order, row_id, schema, k) -> D
     homes = placed.where(F.col("_kind") == 1)
     pool = placed.where(F.col("_kind") == 0)
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
         return _search(left, right, ids, names, order, k)
 
     first = _meet(homes, pool, box, search, schema)

@@ -46,8 +46,8 @@ def test_number(rows, keys):
 def test_over_rows(rows, keys):
     plain, spread = both(rows, keys)
 
-    def build(w):
-        return {"s": F.sum("v").over(w.rowsBetween(-3, -1)), "ahead": F.lead("id", 2).over(w)}
+    def build(df, w):
+        return df.withColumns({"s": F.sum("v").over(w.rowsBetween(-3, -1)), "ahead": F.lead("id", 2).over(w)})
 
     same(plain.over_rows(rows, ["t", "id"], 3, 2, build), spread.over_rows(rows, ["t", "id"], 3, 2, build))
 
