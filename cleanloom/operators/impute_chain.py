@@ -93,7 +93,7 @@ def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
         x = np.column_stack([rows.column(c).to_numpy() for c in columns]).astype(float)
         train = rows.column("_train").to_numpy().astype(bool)
         mean, spread = _observed(np.where(train[:, None], x, np.nan))
-        filled = chain_matrix((x - mean) / spread, train) * spread + mean
+        filled = np.where(np.isnan(x), chain_matrix((x - mean) / spread, train) * spread + mean, x)
         for i, c in enumerate(columns):
             rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(filled[:, i]))
         return rows

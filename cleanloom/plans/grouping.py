@@ -149,6 +149,13 @@ class Grouping:
             .select(*self.keys, F.array(*blended).alias(name))
         )
 
+    def _cut_mark(self, s: Stat) -> Column:
+        """The value where it is a cut point of its group, else NULL; so that no row carries all values of a group."""
+        group = Window.partitionBy(*self.keys)
+        n = F.count(s.column).over(group)
+        place = F.row_number().over(group.orderBy(s.column.asc_nulls_last()))
+        return F.when((place % cut_step(n, s.bins) == 0) & (place < n), s.column)
+
     def attach(self, df: DataFrame, stats: DataFrame) -> DataFrame:
         """Add the columns of ``stats`` (one row per group) to every row."""
         if not self.keys:
@@ -167,9 +174,17 @@ class Grouping:
         if self.is_bounded:
             # the rows of a bounded group already have to meet in one task, so no second shuffle and no join
             group = Window.partitionBy(*self.keys)
-            found = df.select("*", *[s.aggregate().over(group).alias(n) for n, s in specs.items()])
-            finished = {n: s.finish(F.col(n)) for n, s in specs.items() if s.kind == "cuts"}
-            return found.withColumns(finished) if finished else found
+            sorted_cuts = {n: s for n, s in specs.items() if s.kind == "cuts"}
+            marked = df.select("*", *[self._cut_mark(s).alias(f"_mark_{n}") for n, s in sorted_cuts.items()])
+            found = marked.select(
+                "*",
+                *[
+                    (F.collect_list(f"_mark_{n}") if n in sorted_cuts else s.aggregate()).over(group).alias(n)
+                    for n, s in specs.items()
+                ],
+            )
+            cuts = {n: F.array_sort(n) for n in sorted_cuts}
+            return found.withColumns(cuts).drop(*[f"_mark_{n}" for n in cuts]) if cuts else found
         stats = self.stats(df, specs)
         return self.attach(df, cut(stats) if self.cut_stats else stats)
 

@@ -77,7 +77,16 @@ def test_rank(rows, ties):
 
 def test_bounded_grouping_uses_windows_only(rows):
     g = Grouping.bounded(["key"])
-    out = g.with_stats(rows, {"m": st.median("v")})
+    specs = {"m": st.median("v"), "top": st.mode("c"), "cuts": st.cuts("v", 5)}
+    out = g.with_stats(rows, specs)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
-    same(out, Grouping.of(rows, ["key"], max_rows=10**6).with_stats(rows, {"m": st.median("v")}))
+    same(out, Grouping.of(rows, ["key"], max_rows=10**6).with_stats(rows, specs))
+
+
+def test_several_passes_agree(rows):
+    from cleanloom.operators.outliers import clean_outliers
+
+    plain, spread = both(rows, ["key"])
+    a, b = (clean_outliers(rows, g, ["v"], "MAD_2") for g in (plain, spread))
+    same(a.withColumn("v", F.round("v", 9)), b.withColumn("v", F.round("v", 9)))
