@@ -101,7 +101,7 @@ def grid_search(
     parts = [*range(folds), TEST_PART]
     names = [f"_g{i}" for i in range(len(parts))]
     wide = grams.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("part") == p, F.col("gram"))).alias(n) for p, n in zip(parts, names, strict=True)]
+        *[F.max(F.when(F.col("_part") == p, F.col("gram"))).alias(n) for p, n in zip(parts, names, strict=True)]
     )
     search = _searcher(folds, width, model, standardise, date_dummies)
     found = wide.select(*keys, search(*names).alias("_r")).select(*keys, "_r.*")
@@ -120,5 +120,5 @@ def fit_linear(
     date_dummies: bool = False,
 ) -> DataFrame:
     """M1-M3 in one call: rows without missing cells, ``part`` = fold number or TEST_PART."""
-    grams = G.gram(df.withColumn("part", part), [*keys, "part"], [*features, target])
+    grams = G.gram(df.withColumn("_part", part), [*keys, "_part"], [*features, target])
     return grid_search(grams, keys, len(features), model, folds, standardise, date_dummies)
