@@ -21,6 +21,9 @@ from cleanloom.session import cut
 # rows one task may sort for one group; about 200 MB of narrow rows
 MAX_GROUP_ROWS = 2_000_000
 
+# with at most this many groups, a table of one row per group is sent to every task
+FEW_GROUPS = 100_000
+
 
 class Grouping:
     def __init__(
@@ -31,6 +34,7 @@ class Grouping:
         max_rows: int,
         only_hot: bool = False,
         cut_stats: bool = False,
+        few: bool = False,
     ):
         self.keys = list(keys)
         self.hot = hot
@@ -38,14 +42,16 @@ class Grouping:
         self.max_rows = max_rows
         self.only_hot = only_hot
         self.cut_stats = cut_stats
+        self.few = few
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> Grouping:
-        """Count the rows per key and remember the hot keys: at most ``rows / max_rows`` of them."""
+        """Count the rows per key; remember the hot keys (at most ``rows / max_rows``) and whether groups are few."""
         max_rows = max_rows or MAX_GROUP_ROWS
-        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")) if keys else df.agg(F.count(F.lit(1)).alias("_n"))
-        hot = counts.where(F.col("_n") > max_rows)
-        return cls(keys, None if hot.isEmpty() else cut(hot), False, max_rows)
+        counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+        seen = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("largest")).first()
+        hot = cut(counts.where(F.col("_n") > max_rows)) if (seen["largest"] or 0) > max_rows else None
+        return cls(keys, hot, False, max_rows, few=seen["groups"] <= FEW_GROUPS)
 
     @classmethod
     def bounded(cls, keys: Sequence[str]) -> Grouping:
@@ -73,13 +79,14 @@ class Grouping:
     def each(self, df: DataFrame, work: Callable[[DataFrame, Grouping], DataFrame]) -> DataFrame:
         """Run work of several fitting passes once on the rows of ordinary groups and once on those of hot groups.
 
-        Ordinary groups meet once by key and keep that partitioning through all passes. For hot groups, and without
-        keys, each pass writes its few statistics, so that the next pass does not repeat the ones before it.
+        With few groups each pass writes its statistics and sends them to every task; the rows are never shuffled.
+        With many groups the ordinary ones meet once by key and keep that partitioning through all passes, and only
+        hot groups take the first way.
         """
         if self.is_bounded or self.cut_stats:
             return work(df, self)
-        if not self.keys:
-            return work(df, Grouping(self.keys, self.hot, False, self.max_rows, cut_stats=True))
+        if not self.keys or self.few:
+            return work(df, Grouping(self.keys, self.hot, False, self.max_rows, cut_stats=True, few=self.few))
         cold, hot = self.split(df)
         out = work(cold, Grouping.bounded(self.keys))
         if hot is None:
@@ -160,6 +167,8 @@ class Grouping:
         """Add the columns of ``stats`` (one row per group) to every row."""
         if not self.keys:
             return _beside(df, stats)
+        if self.few:
+            return join_on(df, stats, self.keys, "left", small=True)
 
         def spread(rows: DataFrame) -> DataFrame:
             few = join_on(stats, self.hot.select(*self.keys), self.keys, "left_semi", small=True)

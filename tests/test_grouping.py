@@ -90,3 +90,16 @@ def test_several_passes_agree(rows):
     plain, spread = both(rows, ["key"])
     a, b = (clean_outliers(rows, g, ["v"], "MAD_2") for g in (plain, spread))
     same(a.withColumn("v", F.round("v", 9)), b.withColumn("v", F.round("v", 9)))
+
+
+def test_many_groups_take_the_other_way(rows, monkeypatch):
+    from cleanloom.operators.outliers import clean_outliers
+    from cleanloom.plans import grouping as module
+
+    few = clean_outliers(rows, Grouping.of(rows, ["key"], max_rows=25), ["v"], "IQR_1", F.col("id") % 3 != 0)
+    monkeypatch.setattr(module, "FEW_GROUPS", 2)
+    for max_rows in (25, 10**6):
+        g = Grouping.of(rows, ["key"], max_rows=max_rows)
+        assert not g.few
+        many = clean_outliers(rows, g, ["v"], "IQR_1", F.col("id") % 3 != 0)
+        same(few.withColumn("v", F.round("v", 9)), many.withColumn("v", F.round("v", 9)))
