@@ -12,6 +12,7 @@ from cleanloom.operators.features import rank_within
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping
 from cleanloom.plans.ordered import join_on
+from cleanloom.session import cut
 
 # partitions of a series per join cell; one cell yields at most CELL * CELL pairs per model and method
 CELL = 256
@@ -36,23 +37,21 @@ def partition_pairs(df: DataFrame, keys: Sequence[str], values: Sequence[str], p
     The self-join runs over cells of CELL x CELL partitions, so a series with very many partitions is spread over
     many tasks instead of meeting in one.
     """
-    cell = F.floor(F.col(partition) / CELL)
-    largest = df.groupBy(*keys).agg(F.max(cell).alias("_last"))
+    # a few columns per partition: written once, so that the rows behind them are not read for each side again
+    small = cut(df.select(*keys, partition, *values))
+    largest = small.groupBy(*keys).agg(F.max(F.floor(F.col(partition) / CELL)).alias("_last"))
     left = join_on(
-        df.select(*keys, F.col(partition).alias("i"), *[F.col(v).alias(f"{v}_i") for v in values]), largest, keys
+        small.select(*keys, F.col(partition).alias("i"), *[F.col(v).alias(f"{v}_i") for v in values]), largest, keys
     )
     left = (
         left.withColumn("_ci", F.floor(F.col("i") / CELL))
         .withColumn("_cj", F.explode(F.sequence("_ci", "_last")))
         .drop("_last")
     )
-    right = join_on(
-        df.select(*keys, F.col(partition).alias("j"), *[F.col(v).alias(f"{v}_j") for v in values]), largest, keys
-    )
     right = (
-        right.withColumn("_cj", F.floor(F.col("j") / CELL))
+        small.select(*keys, F.col(partition).alias("j"), *[F.col(v).alias(f"{v}_j") for v in values])
+        .withColumn("_cj", F.floor(F.col("j") / CELL))
         .withColumn("_ci", F.explode(F.sequence(F.lit(0).cast("bigint"), "_cj")))
-        .drop("_last")
     )
     both = join_on(left, right, [*keys, "_ci", "_cj"], "inner")
     return both.where(F.col("i") < F.col("j")).drop("_ci", "_cj")
@@ -169,9 +168,8 @@ def map_groups(scores: DataFrame, groups: DataFrame, order: str | None = None) -
 
 def group_matrix(mapped: DataFrame, value: str = "score") -> DataFrame:
     """X13, X14. Mean score per (target group, source group) in long form; each group has 1.0 with itself added once."""
-    cells = mapped.groupBy("group_j", "group_i").agg(
-        F.sum(value).alias("_s"), F.count(value).alias("_n")
-    )
+    # one row per pair of groups, read three times below
+    cells = cut(mapped.groupBy("group_j", "group_i").agg(F.sum(value).alias("_s"), F.count(value).alias("_n")))
     names = cells.select("group_i").union(cells.select("group_j")).distinct()
     own = names.select(
         F.col("group_i").alias("group_j"), F.col("group_i"), F.lit(1.0).alias("_s"), F.lit(1).cast("bigint").alias("_n")
@@ -189,6 +187,7 @@ def group_index(matrix: DataFrame) -> DataFrame:
 
 def indexed_matrix(matrix: DataFrame) -> DataFrame:
     """X15. The matrix with group numbers instead of names."""
+    matrix = cut(matrix)
     index = group_index(matrix)
     out = matrix
     for side in ("group_j", "group_i"):

@@ -23,10 +23,13 @@ from cleanloom.queries.inputs import (
     event_shuffle,
     event_shuffle_sql,
     gappy_lines,
+    line_shuffle,
+    line_shuffle_sql,
     lines,
     user_events,
 )
 from cleanloom.queries.registry import query, rounded, sql_rounded, table
+from cleanloom.queries.series import LINE_ROWS, _partition_sql
 
 SUPPLIER = ["l_suppkey"]
 IDS = "l_suppkey, l_shipdate, l_orderkey, l_linenumber, l_partkey"
@@ -119,7 +122,8 @@ def _lagged_events(spark, folder) -> DataFrame:
     return train.unionByName(test)
 
 
-def _linear_sql(model: str) -> str:
+def _grid_sql(keys: str, model: str) -> str:
+    """Grid search over standardised rows ``k`` (keys, part, x, y), part -1 being the test rows."""
     grid = {
         "ridge": [(a, i) for a in ALPHAS for i in (True, False)],
         "lasso": [(a, True) for a in ALPHAS],
@@ -131,6 +135,10 @@ def _linear_sql(model: str) -> str:
         "linear_regression": "{xy} / {xx}",
         "lasso": "sign({xy}) * greatest(abs({xy}) - {n} * alpha, 0) / {xx}",
     }[model]
+    names = [k.strip() for k in keys.split(",")]
+
+    def same(a: str, b: str) -> str:
+        return " AND ".join(f"{a}.{k} = {b}.{k}" for k in names)
 
     def fitted(n: str, sx: str, sy: str, xx: str, xy: str) -> str:
         centred = slope.format(n=n, xx=f"({xx} - {sx} * {sx} / {n})", xy=f"({xy} - {sx} * {sy} / {n})")
@@ -142,35 +150,46 @@ def _linear_sql(model: str) -> str:
             f"({p}.yy - 2 * w * {p}.xy - 2 * b * {p}.sy + w * w * {p}.xx + 2 * w * b * {p}.sx + b * b * {p}.n) / {p}.n"
         )
 
+    return f"""s AS (SELECT {keys}, part, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy,
+        sum(y * y) AS yy FROM k GROUP BY {keys}, part),
+    a AS (SELECT {keys}, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(xx) AS xx, sum(xy) AS xy, sum(yy) AS yy
+      FROM s WHERE part >= 0 GROUP BY {keys}),
+    grid(idx, alpha, icpt) AS (VALUES {values}),
+    w AS (SELECT s.*, grid.*, a.n - s.n AS tn, a.sx - s.sx AS tsx, a.sy - s.sy AS tsy,
+        {fitted("(a.n - s.n)", "(a.sx - s.sx)", "(a.sy - s.sy)", "(a.xx - s.xx)", "(a.xy - s.xy)")} AS w
+      FROM s JOIN a ON {same("a", "s")} CROSS JOIN grid WHERE s.part >= 0),
+    v AS (SELECT *, CASE WHEN icpt THEN (tsy - w * tsx) / tn ELSE 0 END AS b FROM w),
+    c AS (SELECT {keys}, idx, alpha, icpt, avg({loss("v")}) AS cv FROM v GROUP BY {keys}, idx, alpha, icpt),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY cv, idx) AS rn FROM c) WHERE rn = 1),
+    fin AS (SELECT best.*, a.n AS an, a.sx AS asx, a.sy AS asy, {fitted("a.n", "a.sx", "a.sy", "a.xx", "a.xy")} AS w
+      FROM best JOIN a ON {same("a", "best")}),
+    fb AS (SELECT *, CASE WHEN icpt THEN (asy - w * asx) / an ELSE 0 END AS b FROM fin)
+    SELECT {", ".join(f"fb.{k}" for k in names)}, fb.alpha, {sql_rounded("fb.cv", 5)} AS cv_mse,
+      {sql_rounded(f"sqrt({loss('s')})", 5)} AS test_rmse, CAST(fb.an AS BIGINT) AS n_train, CAST(s.n AS BIGINT) AS n_test
+    FROM fb JOIN s ON {same("s", "fb")} AND s.part = -1"""
+
+
+def _fold_sql(position: str, n: str) -> str:
+    """The contiguous fold of a 0-based position among n rows."""
+    q, m = f"({n} // 5)", f"({n} % 5)"
+    return (
+        f"CASE WHEN {position} < {m} * ({q} + 1) THEN {position} // ({q} + 1)"
+        f" ELSE {m} + ({position} - {m} * ({q} + 1)) // greatest({q}, 1) END"
+    )
+
+
+def _linear_sql(model: str) -> str:
     return f"""WITH e AS (
       SELECT *, CASE WHEN count(amount) OVER f = 5 THEN avg(amount) OVER f END AS past FROM ({EVENT_SQL})
       WINDOW f AS (PARTITION BY user_id ORDER BY ts ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)),
     h AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {event_shuffle_sql()})
         <= round_even(0.2::DOUBLE * count(*) OVER (PARTITION BY user_id), 0) AS is_test FROM e WHERE past IS NOT NULL),
     t AS (SELECT *, row_number() OVER (PARTITION BY user_id, is_test ORDER BY ts) - 1 AS r,
-        count(*) OVER (PARTITION BY user_id, is_test) // 5 AS q, count(*) OVER (PARTITION BY user_id, is_test) % 5 AS m FROM h),
-    k AS (SELECT user_id, CASE WHEN is_test THEN -1 WHEN r < m * (q + 1) THEN r // (q + 1)
-        ELSE m + (r - m * (q + 1)) // greatest(q, 1) END AS part,
+        count(*) OVER (PARTITION BY user_id, is_test) AS n FROM h),
+    k AS (SELECT user_id, CASE WHEN is_test THEN -1 ELSE {_fold_sql("r", "n")} END AS part,
         (past - avg(past) FILTER (WHERE NOT is_test) OVER u) / stddev_pop(past) FILTER (WHERE NOT is_test) OVER u AS x,
         (amount - avg(amount) FILTER (WHERE NOT is_test) OVER u) / stddev_pop(amount) FILTER (WHERE NOT is_test) OVER u AS y
-      FROM t WINDOW u AS (PARTITION BY user_id)),
-    s AS (SELECT user_id, part, count(*)::DOUBLE AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) AS xx, sum(x * y) AS xy,
-        sum(y * y) AS yy FROM k GROUP BY user_id, part),
-    a AS (SELECT user_id, sum(n) AS n, sum(sx) AS sx, sum(sy) AS sy, sum(xx) AS xx, sum(xy) AS xy, sum(yy) AS yy
-      FROM s WHERE part >= 0 GROUP BY user_id),
-    grid(idx, alpha, icpt) AS (VALUES {values}),
-    w AS (SELECT s.*, grid.*, a.n - s.n AS tn, a.sx - s.sx AS tsx, a.sy - s.sy AS tsy,
-        {fitted("(a.n - s.n)", "(a.sx - s.sx)", "(a.sy - s.sy)", "(a.xx - s.xx)", "(a.xy - s.xy)")} AS w
-      FROM s JOIN a ON a.user_id = s.user_id CROSS JOIN grid WHERE s.part >= 0),
-    v AS (SELECT *, CASE WHEN icpt THEN (tsy - w * tsx) / tn ELSE 0 END AS b FROM w),
-    c AS (SELECT user_id, idx, alpha, icpt, avg({loss("v")}) AS cv FROM v GROUP BY user_id, idx, alpha, icpt),
-    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY cv, idx) AS rn FROM c) WHERE rn = 1),
-    fin AS (SELECT best.*, a.n AS an, a.sx AS asx, a.sy AS asy, {fitted("a.n", "a.sx", "a.sy", "a.xx", "a.xy")} AS w
-      FROM best JOIN a ON a.user_id = best.user_id),
-    fb AS (SELECT *, CASE WHEN icpt THEN (asy - w * asx) / an ELSE 0 END AS b FROM fin)
-    SELECT fb.user_id, fb.alpha, {sql_rounded("fb.cv", 5)} AS cv_mse, {sql_rounded(f"sqrt({loss('s')})", 5)} AS test_rmse,
-      CAST(fb.an AS BIGINT) AS n_train, CAST(s.n AS BIGINT) AS n_test
-    FROM fb JOIN s ON s.user_id = fb.user_id AND s.part = -1"""
+      FROM t WINDOW u AS (PARTITION BY user_id)), {_grid_sql("user_id", model)}"""
 
 
 def _linear(spark, folder, model: str) -> DataFrame:
@@ -330,3 +349,45 @@ def sweep_outliers(spark, folder) -> DataFrame:
     """Two imputers, two detectors and two repairs on every partition."""
     parts = _series_partitions(spark, folder)
     return sweeps.sweep_outliers(parts, ["l_suppkey", "partition_id"], FEATURES, TARGET, ["series_row"], LINE_ID)
+
+
+def _sweep_sql() -> str:
+    """The sweep with one feature: split, gaps, fills, folds, scaling and grid search step by step."""
+    key = "l_suppkey, partition_id"
+    rows = _partition_sql(LINE_ROWS, "l_suppkey, l_orderkey, l_linenumber, l_partkey, qty, price", "400", "100")
+    fills = {
+        "mean_noclean": f"coalesce(q, avg(q) FILTER (WHERE tr) OVER (PARTITION BY {key}))",
+        "median_noclean": f"coalesce(q, quantile_cont(q, 0.5) FILTER (WHERE tr) OVER (PARTITION BY {key}))",
+        "mode_noclean": "coalesce(q, mode)",
+    }
+    cases = " UNION ALL ".join(
+        f"SELECT {key}, '{m}' AS method, tr, series_row, {x} AS x, price AS y FROM g JOIN mo USING ({key})" for m, x in fills.items()
+    )
+    return f"""WITH p AS ({rows}),
+    h AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY {line_shuffle_sql(0)})
+        > round_even(0.2::DOUBLE * count(*) OVER (PARTITION BY {key}), 0) AS tr FROM p),
+    g AS (SELECT *, CASE WHEN tr AND row_number() OVER (PARTITION BY {key}, tr ORDER BY {line_shuffle_sql(1)})
+        <= floor(0.05::DOUBLE * count(*) OVER (PARTITION BY {key}, tr)) THEN NULL ELSE qty END AS q FROM h),
+    mo AS (SELECT {key}, q AS mode FROM (SELECT {key}, q, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, q) AS rn
+      FROM g WHERE tr AND q IS NOT NULL GROUP BY {key}, q) WHERE rn = 1),
+    u AS ({cases} UNION ALL SELECT {key}, 'Noclean', tr, series_row, q, price FROM g WHERE q IS NOT NULL),
+    t AS (SELECT *, row_number() OVER (PARTITION BY {key}, method, tr ORDER BY series_row) - 1 AS r,
+        count(*) OVER (PARTITION BY {key}, method, tr) AS n FROM u),
+    k AS (SELECT {key}, method, CASE WHEN tr THEN {_fold_sql("r", "n")} ELSE -1 END AS part,
+        (x - avg(x) FILTER (WHERE tr) OVER m) / stddev_pop(x) FILTER (WHERE tr) OVER m AS x,
+        (y - avg(y) FILTER (WHERE tr) OVER m) / stddev_pop(y) FILTER (WHERE tr) OVER m AS y
+      FROM t WINDOW m AS (PARTITION BY {key}, method)), {_grid_sql(key + ", method", "ridge")}"""
+
+
+@query("sweep_one_feature", _sweep_sql())
+def sweep_one_feature(spark, folder) -> DataFrame:
+    """The sweep with quantity as the only feature; the two fills that SQL cannot say are left out of the result."""
+    rows = lines(spark, folder).select("l_suppkey", *LINE_ORDER, "qty", "price")
+    parts = partitions.row_partitions(rows, SUPPLIER, LINE_ORDER, 400, 100)
+    out = sweeps.sweep(
+        parts, ["l_suppkey", "partition_id"], ["qty"], "price", ["series_row"], LINE_ID, drop_share=0.05, order=line_shuffle
+    )
+    return out.where(~F.col("method").isin("knn_noclean", "mice_noclean")).select(
+        "l_suppkey", "partition_id", "method", "alpha", rounded("cv_mse", 5).alias("cv_mse"),
+        rounded("rmse", 5).alias("test_rmse"), "n_train", "n_test",
+    )
