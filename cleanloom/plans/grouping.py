@@ -204,11 +204,13 @@ class Grouping:
         named, names, extra = _named_order(df, order_by)
 
         def plain(rows: DataFrame) -> DataFrame:
-            group = Window.partitionBy(*self.keys)
+            ordered = Window.partitionBy(*self.keys).orderBy(*names)
+            # the size is taken over the same ordered window, so both come from one pass over the group
+            whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return rows.select(
                 "*",
-                F.row_number().over(group.orderBy(*names)).cast("bigint").alias(rn),
-                F.count(F.lit(1)).over(group).alias(n),
+                F.row_number().over(ordered).cast("bigint").alias(rn),
+                F.count(F.lit(1)).over(whole).alias(n),
             )
 
         def spread(rows: DataFrame) -> DataFrame:
