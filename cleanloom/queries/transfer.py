@@ -217,9 +217,9 @@ def group_index(spark, folder) -> DataFrame:
 
 
 def _choices(spark, folder) -> DataFrame:
-    """One run per part size and retail price band: its brands and types stand for chosen options."""
+    """One run per twenty parts: their brands and types stand for the options chosen for twenty features."""
     rows = table(spark, folder, "part").select(
-        F.concat_ws("-", "p_size", (F.col("p_partkey") % 97)).alias("run"),
+        F.floor(F.col("p_partkey") / 20).alias("run"),
         F.struct(F.col("p_partkey").alias("k"), F.col("p_brand").alias("a"), F.col("p_type").alias("b")).alias("cell"),
     )
     listed = rows.groupBy("run").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
@@ -232,7 +232,7 @@ def _choices(spark, folder) -> DataFrame:
 
 CHOICES_SQL = """SELECT run, list(substr(p_brand, 1, 7) ORDER BY p_partkey) AS num_tf,
     list(p_type ORDER BY p_partkey) AS normalization
-  FROM (SELECT *, p_size || '-' || (p_partkey % 97) AS run FROM part) GROUP BY run"""
+  FROM (SELECT *, p_partkey // 20 AS run FROM part) GROUP BY run"""
 
 
 @query(

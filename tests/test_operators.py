@@ -10,6 +10,7 @@ from cleanloom.operators import scale as scaling
 from cleanloom.operators import search, space, transfer
 from cleanloom.operators.forest import outlier_bounds
 from cleanloom.operators.learners import estimator
+from cleanloom.plans.grouping import Grouping
 from cleanloom.sources import files
 
 TRAIN = "is_train"
@@ -49,6 +50,9 @@ def test_injection_counts_are_exact_and_survive_repartitioning(spark):
     assert out.where(~F.col(TRAIN) & (F.col("a").isNull() | F.col("b").isNull())).count() == 0
     again = inject.drop_cells_exact(df.repartition(9), ["k"], ["a", "b"], 0.1, ["id"], F.col(TRAIN))
     assert rows(out, *out.columns) == rows(again, *out.columns)
+    hot = Grouping.of(df, ["k"], max_rows=60)
+    spread = inject.drop_cells_exact(df, hot, ["a", "b"], 0.1, ["id"], F.col(TRAIN))
+    assert rows(out, *out.columns) == rows(spread, *out.columns)
 
 
 def test_statistics_come_from_training_rows_only(spark):
