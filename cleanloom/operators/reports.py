@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.plans import stats as st
+from cleanloom.plans.grouping import Grouping
+
 
 def option_counts(choices: DataFrame, columns: Sequence[str] = ("num_tf", "normalization")) -> DataFrame:
     """T1. How often each option was chosen, per kind of step."""
@@ -47,14 +50,17 @@ def best_of(runs: DataFrame, keys: Sequence[str], loss: str, columns: Sequence[s
 
 def result_summary(results: DataFrame, by: Sequence[str], losses: Sequence[str]) -> DataFrame:
     """T5. Count, minimum, median, mean and maximum of losses per collection of runs, in long form."""
-    long = results.unpivot(list(by), list(losses), "loss", "value")
-    return long.groupBy(*by, "loss").agg(
-        F.count("value").alias("runs"),
-        F.min("value").alias("min"),
-        F.median("value").alias("median"),
-        F.avg("value").alias("mean"),
-        F.max("value").alias("max"),
-    )
+    long = results.select(*by, *losses).unpivot(list(by), list(losses), "loss", "value")
+    specs = {
+        "runs": st.count("value"),
+        "min": st.low("value"),
+        "median": st.median("value"),
+        "mean": st.mean("value"),
+        "max": st.high("value"),
+    }
+    # one collection may hold most runs, so the exact median must not gather it
+    found = Grouping.of(long, [*by, "loss"]).stats(long, specs)
+    return found.withColumn("median", F.col("median")[0])
 
 
 def option_log(options: DataFrame, keys: Sequence[str], position: str = "position") -> DataFrame:

@@ -17,7 +17,6 @@ from cleanloom.operators.impute import FILLS, imputer_option
 from cleanloom.operators.options import Option
 from cleanloom.operators.outliers import CLEANERS, cleaner_option
 from cleanloom.operators.scale import SCALERS, scaler_option
-from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping
 
 

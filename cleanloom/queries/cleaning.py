@@ -15,7 +15,6 @@ from cleanloom.queries.inputs import (
     LINE_VALUES,
     gappy_events,
     gappy_lines,
-    lines,
 )
 from cleanloom.queries.registry import query, rounded, sql_rounded, table
 from cleanloom.sources.files import canonical_prices, letters_only

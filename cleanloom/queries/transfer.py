@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cleanloom.functions.columns import wall_micros
 from cleanloom.operators import partitions, reports, transfer
-from cleanloom.queries.inputs import LINE_ORDER, LINE_SQL, lines
+from cleanloom.queries.inputs import LINE_ORDER, lines
 from cleanloom.queries.registry import query, rounded, sql_rounded, table
 from cleanloom.queries.series import LINE_ROWS, SUPPLIER, _partition_sql
 
@@ -55,7 +56,7 @@ def partition_distance(spark, folder) -> DataFrame:
 )
 def partition_mid_date(spark, folder) -> DataFrame:
     out = transfer.middle_row_time(_parts(spark, folder), PART, "l_shipdate")
-    return out.withColumn("midpoint", F.unix_micros(F.col("midpoint").cast("timestamp")))
+    return out.withColumn("midpoint", wall_micros(out, "midpoint"))
 
 
 @query(
@@ -69,8 +70,7 @@ def partition_mid_date(spark, folder) -> DataFrame:
 def score_midpoints(spark, folder) -> DataFrame:
     middles = transfer.middle_row_time(_parts(spark, folder), PART, "l_shipdate")
     out = transfer.attach_midpoint(_scores(spark, folder), middles, PART)
-    micros = F.unix_micros(F.col("midpoint").cast("timestamp"))
-    return out.select(*PART, "method", rounded("rmse", 4).alias("rmse"), micros.alias("midpoint"))
+    return out.select(*PART, "method", rounded("rmse", 4).alias("rmse"), wall_micros(out, "midpoint").alias("midpoint"))
 
 
 @query(
