@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cleanloom.llm import bpe, extract, quality, token_files, toxicity
+from cleanloom.llm import bpe, extract, line_dedup, mixing, quality, secret_scan, token_files, toxicity
 from cleanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -57,3 +58,61 @@ def op9_main_text(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bpe")
 def op10_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.round_trip(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
+
+
+@query(
+    "op2_line_dedup",
+    r"""
+    WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    l AS (
+        SELECT doc_id, generate_subscripts(lines, 1) AS n, unnest(lines) AS line FROM d
+    ), k AS (
+        SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+        FROM l
+    ), shared AS (SELECT key FROM k WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+    SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE s.key IS NOT NULL) AS n_dropped,
+        sha256(coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (WHERE s.key IS NULL), '')) AS kept_sha256
+    FROM k LEFT JOIN shared s ON k.key = s.key GROUP BY doc_id
+    """,
+)
+def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    kept = line_dedup.drop_shared_lines(table(spark, folder, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query(
+    "op5_mixing",
+    r"""
+    WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    s AS (SELECT source, sum(size)::BIGINT AS source_size, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM d GROUP BY source),
+    f AS (
+        SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
+        FROM s WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+    ), t AS (
+        SELECT source, source_size,
+            least((3 * source_size)::DOUBLE, (SELECT arg_min(level, source_size / weight) FROM f WHERE level * weight <= 3 * source_size) * weight) AS target
+        FROM f
+    ), c AS (
+        SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+            CASE WHEN t.source_size > 0 THEN least(3, floor(t.target / t.source_size)) ELSE 0 END AS rounds
+        FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    )
+    SELECT doc_id, size, source_size, target,
+        (size * (rounds + CASE WHEN rounds < 3 AND target - rounds * source_size > 0 AND before + size / 2 <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM c
+    """,
+)
+def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    planned = mixing.plan(table(spark, folder, "documents"))
+    rows = planned.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    base = F.filter("found", lambda s: s["kind"].isin("assign", "access", "hex"))
+    count = lambda kind: F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans")
+    )
