@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import bpe, extract, line_dedup, mixing, quality, secret_scan, token_files, toxicity
+from cleanloom.llm import ann, bpe, extract, line_dedup, mixing, ngram_join, quality, secret_scan, token_files, toxicity
 from cleanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,13 @@ def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(
         "doc_id", count("assign"), count("access"), count("hex"), F.sha2(secret_scan.written(base), 256).alias("base_sha256"), secret_scan.written(F.col("found")).alias("spans")
     )
+
+
+@query("op1_nearest")
+def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.search(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.near_documents(table(spark, folder, "documents"))
