@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -151,20 +154,54 @@ class ChunkEncoder:
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.known: dict[str, bytes] = {}
+        self.suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.suffix:
+            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
+
+    def learn(self, pieces: list[str]) -> None:
+        """Pieces of letters alone are encoded in one go: each is a word, and ends where a token ends a word."""
+        words = [p for p in pieces if p.isalpha() and p.isascii()] if self.suffix else []
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) == len(part):
+                data, stops = ids.tobytes(), (4 * ends).tolist()
+                self.known.update(zip(part, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
+        pieces = [p for p in pieces if p not in self.known]
+        for at in range(0, len(pieces), 20_000):
+            part = pieces[at : at + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[c] = array("I", e.ids).tobytes()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        cut = [re.split(r"[ \t\n\r]+", t) for t in texts]
+        # str.split also cuts at four control characters, which are no white space to the vocabulary
+        cut = [re.split(r"[ \t\n\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
         known = self.known
-        new = list({c for chunks in cut for c in chunks if c not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
+        new = {c for chunks in cut for c in chunks if c not in known}
+        simple = {c: pieces for c in new if (pieces := letters_and_mark(c))}
+        self.learn(list({p for p in (new - simple.keys()).union(*simple.values()) if p not in known}))
+        for c, pieces in simple.items():
+            known[c] = b"".join([known[p] for p in pieces])
         return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
 
 
+def letters_and_mark(chunk: str) -> list[str] | None:
+    """Letters with a mark behind are two words to the vocabulary; plain capitals are encoded as small letters."""
+    body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",", "!", "?", ";", ":") else (chunk, "")
+    if not body.isalpha():
+        return None
+    if body.isascii():
+        body = body.lower()
+    elif not unicodedata.normalize("NFC", body.lower()).isalpha():
+        return None
+    pieces = [body, mark] if mark else [body]
+    return None if pieces == [chunk] else pieces
+
+
 _encoders: dict[int, ChunkEncoder] = {}
 
 
