@@ -161,7 +161,7 @@ class ChunkEncoder:
 
     def learn(self, pieces: list[str]) -> None:
         """Pieces of letters alone are encoded in one go: each is a word, and ends where a token ends a word."""
-        words = [p for p in pieces if p.isalpha() and p.isascii()] if self.suffix else []
+        words = [p for p in pieces if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p.lower()).isalpha())] if self.suffix else []
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
@@ -223,12 +223,14 @@ def write_tokens(
         vocabulary = spark.sparkContext.broadcast(f.read())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         key = hash(vocabulary.value)
         if key not in _encoders:
             _encoders[key] = ChunkEncoder(vocabulary.value)
+            gc.set_threshold(200_000, 20, 100)  # many strings, few cycles
         encoder, end = _encoders[key], np.array([end_id], "<u4").tobytes()
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
