@@ -126,6 +126,9 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     is the innermost element that names itself one, or else the innermost that holds nine tenths of the content.
     All its blocks are returned, short ones too, but for elements that are marked as something else.
     """
+    cut = html.rfind("<")
+    if cut >= 0 and ">" not in html[cut:] and html[cut + 1 : cut + 2].isalpha() | (html[cut + 1 : cut + 2] in ("/", "!", "?")):
+        html = html[:cut]  # a tag that the page's end cut off is no text
     parser = Blocks()
     parser.feed(html)
     parser.close()
