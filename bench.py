@@ -1,6 +1,6 @@
 """Time the headline queries: one warm-up run of each, then the median of the timed runs.
 
-BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 1).
+BENCH_SF_DIR (default /root/testdata/sf0.1), BENCH_CPUS (default 8), BENCH_RUNS (default 3).
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def run(spark, folder: str, name: str) -> float:
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    runs = int(os.environ.get("BENCH_RUNS", "1"))
+    runs = int(os.environ.get("BENCH_RUNS", "3"))
     cores = os.environ.get("BENCH_CPUS", str(os.cpu_count()))
     spark = local_session(cores, "bench", shuffle_partitions=int(cores) if cores.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")

@@ -29,19 +29,22 @@ from cleanloom.session import cut
 PENALTY = 1e-3
 ROUNDS = 10
 TOLERANCE = 1e-3
+# rounds of a chain of ridge regressions at most; each group stops as soon as a round moves nothing by more than TOLERANCE
+MOST_ROUNDS = 100
 # rows of one group that one task may hold as a matrix
 GROUP_ROWS = 200_000
 
 
-def chain_matrix(z: np.ndarray, train: np.ndarray, rounds: int = ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
+def chain_matrix(z: np.ndarray, train: np.ndarray, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> np.ndarray:
     """Fill a standardised (n, d) matrix: start at the mean, then predict each incomplete column from the others.
 
-    Models are fitted on training rows that have the column; predictions replace the missing cells of all rows.
+    Models are fitted on training rows that have the column; predictions replace the missing cells of all rows. It ends
+    when a round moves no cell by more than ``tolerance`` times the largest value of the incomplete rows at the start.
     """
     missing = np.isnan(z)
     out = np.where(missing, 0.0, z)
     todo = np.flatnonzero(missing.any(axis=0))
-    largest = np.abs(out).max(initial=0.0)
+    largest = np.abs(out[missing.any(axis=1)]).max(initial=0.0)
     for _ in range(rounds):
         change = 0.0
         for j in todo:
@@ -65,11 +68,12 @@ def impute_chain(
     columns: Sequence[str],
     row_id: Sequence[str],
     is_train: Column | None = None,
-    rounds: int = ROUNDS,
+    rounds: int = MOST_ROUNDS,
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
     """I5 with ridge regressions. Groups of at most ``group_rows`` rows are solved in one task each; larger ones by
-    rounds of distributed sums. ``row_id`` must identify a row inside its group."""
+    the same rounds with distributed sums. Each group stops by itself, by one rule on both paths, after ``rounds`` at
+    most. ``row_id`` must identify a row inside its group."""
     train = F.lit(True) if is_train is None else is_train
     g = keys if isinstance(keys, Grouping) and keys.is_bounded else Grouping.of(
         df, keys.keys if isinstance(keys, Grouping) else keys, group_rows
@@ -78,14 +82,14 @@ def impute_chain(
     cold, hot = g.split(marked)
     parts = []
     if cold is not None:
-        parts.append(_chain_in_tasks(cold, g.keys, columns))
+        parts.append(_chain_in_tasks(cold, g.keys, columns, rounds))
     if hot is not None:
         parts.append(_chain_in_rounds(hot, g, columns, row_id, rounds))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.drop("_train")
 
 
-def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
+def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rounds: int) -> DataFrame:
     columns = list(columns)
     df = df.withColumns({c: F.col(c).cast("double") for c in columns})
 
@@ -93,7 +97,7 @@ def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str])
         x = np.column_stack([rows.column(c).to_numpy() for c in columns]).astype(float)
         train = rows.column("_train").to_numpy().astype(bool)
         mean, spread = _observed(np.where(train[:, None], x, np.nan))
-        filled = np.where(np.isnan(x), chain_matrix((x - mean) / spread, train) * spread + mean, x)
+        filled = np.where(np.isnan(x), chain_matrix((x - mean) / spread, train, rounds) * spread + mean, x)
         for i, c in enumerate(columns):
             rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(filled[:, i]))
         return rows
@@ -151,10 +155,11 @@ def _chain_in_rounds(df, g: Grouping, columns, row_id, rounds) -> DataFrame:
         *[F.coalesce(F.col(c), F.lit(0.0)).alias(c) for c in z],
     )
     complete = cut(G.gram(table.where(F.col("_train") & ~any_null(z)), keys, z, "_base"))
-    state = cut(start)
+    largest = start.groupBy(*keys).agg(F.max(F.greatest(*[F.abs(F.col(c)) for c in z])).alias("_largest"))
+    state = cut(join_on(start, largest, keys, "left", small=True).withColumn("_done", F.lit(False)))
     width = (d + 1) * (d + 2) // 2
     for _ in range(rounds):
-        before = state
+        state = state.withColumns({f"_old{c}": F.col(c) for c in z})
         for j in range(d):
             others = [i for i in range(d) if i != j]
             seen = state.where(F.col("_train") & ~F.col(gaps[j]))
@@ -165,16 +170,14 @@ def _chain_in_rounds(df, g: Grouping, columns, row_id, rounds) -> DataFrame:
             predicted = F.col("_w")[0] + sum(
                 (F.col("_w")[p + 1] * F.col(z[i]) for p, i in enumerate(others)), F.lit(0.0)
             )
-            state = state.withColumn(z[j], F.when(F.col(gaps[j]) & F.col("_w").isNotNull(), predicted).otherwise(F.col(z[j]))).drop("_w")
+            state = state.withColumn(z[j], F.when(F.col(gaps[j]) & F.col("_w").isNotNull() & ~F.col("_done"), predicted).otherwise(F.col(z[j]))).drop("_w")
         state = cut(state)
-        moved = join_on(
-            state.select(*ids, *z), before.select(*ids, *[F.col(c).alias(f"_old{c}") for c in z]), ids, "inner"
-        ).agg(
-            F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_old{c}")) for c in z])).alias("change"),
-            F.max(F.greatest(*[F.abs(F.col(c)) for c in z])).alias("size"),
-        ).first()
-        if moved["change"] is None or moved["change"] <= TOLERANCE * moved["size"]:
+        change = F.max(F.greatest(*[F.abs(F.col(c) - F.col(f"_old{c}")) for c in z]))
+        moved = cut(state.groupBy(*keys).agg((change <= TOLERANCE * F.max("_largest")).alias("_still")))
+        if moved.where(~F.col("_still")).isEmpty():
             break
+        state = join_on(state.drop(*[f"_old{c}" for c in z]), moved, keys, "left", small=True)
+        state = state.withColumn("_done", F.coalesce("_still", F.lit(True))).drop("_still")
     out = _finished(df, state, ids, columns)
     return out if g.keys else out.drop("_all")
 

@@ -24,8 +24,6 @@ from cleanloom.plans.ordered import join_on
 
 SPLITS = ("train", "val", "test")
 PENALTY = 1e-3
-# a hot series is summed by this many tasks at most; each streams its rows
-MOST_TASKS = 1000
 
 Chain = tuple[Option, ...]
 
@@ -72,10 +70,10 @@ def candidate_sums(
     share = F.lit(0)
     if g.hot is not None and keys:
         rows = join_on(rows, g.hot, keys, "left", small=True)
-        tasks = F.least(F.lit(MOST_TASKS), F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / g.max_rows))
+        tasks = F.ceil(F.coalesce(F.col("_n"), F.lit(1)) / g.max_rows)
         share = F.pmod(F.xxhash64(*row_id), tasks)
     elif not keys:
-        share = F.pmod(F.xxhash64(*row_id), F.lit(MOST_TASKS))
+        share = F.pmod(F.xxhash64(*row_id), F.lit(max(1, -(-rows.count() // g.max_rows))))
     placed = rows.withColumn("_share", share).repartition(*keys, "_share").sortWithinPartitions(*by)
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in placed.schema if f.name in by)
     upper = np.triu_indices(len(names) + 1)

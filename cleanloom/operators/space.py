@@ -94,7 +94,7 @@ def prepare(
     """Replace each column by the result of its chosen options, one name per step."""
     steps = list(space or preparation_space())
     chains = {
-        f"_n_{c}": (c, [s.option(n) for s, n in zip(steps, names, strict=False)]) for c, names in choice.items()
+        f"_n_{c}": (c, [s.option(n) for s, n in zip(steps, names, strict=True)]) for c, names in choice.items()
     }
     out = apply_chains(df, grouping(df, keys), chains, is_train)
     return out.withColumns({c: F.col(f"_n_{c}") for c in choice}).drop(*chains)

@@ -1,9 +1,8 @@
 """Positions and running sums inside groups that may be too large for one task.
 
 A window over a whole group sorts that group in one task. When a group is larger than ``max_rows`` its rows are
-first split into parts that follow the wanted order: equal-width slices of the first order column that varies,
-sliced again where a slice is still too large. Part totals are small and give the offset of every part, so the
-window runs inside parts only. The split depends on the data alone (exact counts, minima and maxima).
+first dealt out by ranges of the keys and order columns. Part totals are small and give the offset of every part, so
+the window runs inside parts only.
 """
 
 from __future__ import annotations
@@ -11,16 +10,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from cleanloom.functions.columns import wall_micros
 from cleanloom.session import cut
 
-SPLIT_LEVELS = 8
-TEXT_PREFIX = 16
-
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left", small: bool = False) -> DataFrame:
     """Join on ``keys`` where NULL equals NULL. ``small`` may be set only where the row count has a proven bound."""
@@ -33,85 +27,15 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _sortable_numbers(df: DataFrame, order_by: Sequence[str]) -> list[tuple[Column, bool]]:
-    """Values whose lexicographic order never contradicts the order of ``order_by``.
+def split_in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], max_rows: int) -> DataFrame:
+    """Add ``_part`` (BIGINT), increasing along ``order_by`` inside each key, with about a third of ``max_rows`` rows per part.
 
-    Numbers come with True: rows can be sliced by them. A column that its numbers do not tell apart completely (long
-    texts, integers beyond double precision) follows with False: where it still varies, later columns must not be used.
+    Spark's range partitions of the keys and order columns, written once so that each row keeps its part. Only
+    rows that agree in all of these columns cannot be parted.
     """
-    out: list[tuple[Column, bool]] = []
-    for name in order_by:
-        kind, c = df.schema[name].dataType, F.col(name)
-        if isinstance(kind, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-            out.append((wall_micros(df, name).cast("double"), True))
-        elif isinstance(kind, T.StringType):
-            # two code points per number; the empty tail counts as zero
-            for i in range(1, TEXT_PREFIX, 2):
-                first, second = F.ascii(F.substring(c, i, 1)), F.ascii(F.substring(c, i + 1, 1))
-                out.append((first.cast("double") * F.lit(1114112.0) + second, True))
-            out.append((c, False))
-        else:
-            out.append((c.cast("double"), True))
-            if isinstance(kind, (T.LongType, T.DecimalType)):
-                out.append((c, False))
-    return out
-
-
-def split_in_order(df: DataFrame, keys: Sequence[str], order_by: Sequence[str], max_rows: int) -> DataFrame:
-    """Add ``_part`` (ARRAY<BIGINT>), increasing along ``order_by`` inside each key, with at most ``max_rows`` rows per
-    part wherever the order columns tell the rows apart."""
-    by = [*keys, "_part"]
-    out = df.withColumn("_part", F.array().cast("array<bigint>"))
-    values = _sortable_numbers(df, order_by)
-    numbers = [c for c, divisible in values if divisible]
-    for _ in range(SPLIT_LEVELS):
-        aggregates = [F.count(F.lit(1)).alias("_size")]
-        for i, (c, _divisible) in enumerate(values):
-            aggregates += [F.min(c).alias(f"_min{i}"), F.max(c).alias(f"_max{i}"), F.count(c).alias(f"_seen{i}")]
-        slots = [i for i, (_c, divisible) in enumerate(values) if divisible]
-        pick = F.lit(None).cast("int")
-        for i in reversed(range(len(values))):
-            varies = (F.col(f"_max{i}") > F.col(f"_min{i}")) | (
-                (F.col(f"_seen{i}") > 0) & (F.col(f"_seen{i}") < F.col("_size"))
-            )
-            pick = F.when(varies, F.lit(slots.index(i)) if i in slots else F.lit(None)).otherwise(pick)
-        large = (
-            out.groupBy(*by)
-            .agg(*aggregates)
-            .where(F.col("_size") > max_rows)
-            .withColumn("_pick", pick)
-            .where(F.col("_pick").isNotNull())
-            .withColumn("_slices", F.ceil(F.col("_size") / max_rows) * 2)
-            .select(
-                *by,
-                "_pick",
-                "_slices",
-                F.array(*[F.col(f"_min{i}") for i in slots])[F.col("_pick")].alias("_lo"),
-                F.array(*[F.col(f"_max{i}") for i in slots])[F.col("_pick")].alias("_hi"),
-            )
-        )
-        large = cut(large)
-        if large.isEmpty():
-            return out
-        # at most (rows / max_rows) parts are too large, so the broadcast side shrinks as max_rows grows
-        value = F.array(*numbers)[F.col("_pick")]
-        slice_no = F.when(value.isNull(), F.lit(-1)).when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
-            F.least(
-                F.floor((value - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * F.col("_slices")),
-                F.col("_slices") - 1,
-            )
-        )
-        out = (
-            join_on(out, large, by, "left", small=True)
-            .withColumn(
-                "_part",
-                F.when(F.col("_pick").isNull(), F.col("_part")).otherwise(
-                    F.concat(F.col("_part"), F.array(slice_no.cast("bigint")))
-                ),
-            )
-            .drop("_pick", "_slices", "_lo", "_hi")
-        )
-    return out
+    parts = max(1, -(-3 * df.count() // max_rows))
+    dealt = df.repartitionByRange(parts, *keys, *order_by)
+    return cut(dealt.withColumn("_part", F.spark_partition_id().cast("bigint")))
 
 
 def running_total(
@@ -138,8 +62,7 @@ def running_total(
         Window.partitionBy(*keys, "_part").orderBy(*order_by).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
     return (
-        # a few parts per max_rows rows, as split_in_order makes them
-        join_on(parts, offsets, [*keys, "_part"], "left", small=True)
+        join_on(parts, offsets, [*keys, "_part"], "left")
         .withColumn("_upto", F.col("_before") + F.sum(w).over(inside))
         .drop("_part", "_before")
     )

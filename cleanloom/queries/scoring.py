@@ -84,23 +84,23 @@ def impute_chain_ridge(spark, folder) -> DataFrame:
 @query("impute_chain_neighbours")
 def impute_chain_knn(spark, folder) -> DataFrame:
     return _cells(
-        impute_chain_neighbours(gappy_lines(spark, folder), SUPPLIER, LINE_VALUES, LINE_ORDER, is_train(), rounds=1)
+        impute_chain_neighbours(gappy_lines(spark, folder), SUPPLIER, LINE_VALUES, LINE_ORDER, is_train())
     )
 
 
 @query("impute_chain_tree")
 def impute_chain_tree(spark, folder) -> DataFrame:
-    return _cells(impute_chain_trees(gappy_lines(spark, folder), LINE_VALUES, is_train(), rounds=1))
+    return _cells(impute_chain_trees(gappy_lines(spark, folder), LINE_VALUES, is_train()))
 
 
 @query("impute_tree")
 def impute_random_tree(spark, folder) -> DataFrame:
-    return _cells(impute_chain_trees(gappy_lines(spark, folder), LINE_VALUES, is_train(), rounds=1, randomised=True))
+    return _cells(impute_chain_trees(gappy_lines(spark, folder), LINE_VALUES, is_train(), randomised=True))
 
 
 @query("impute_em")
 def impute_gaussian(spark, folder) -> DataFrame:
-    return _cells(impute_em(gappy_lines(spark, folder), SUPPLIER, LINE_VALUES, LINE_ORDER, is_train(), rounds=4))
+    return _cells(impute_em(gappy_lines(spark, folder), SUPPLIER, LINE_VALUES, LINE_ORDER, is_train()))
 
 
 @query("outlier_iforest")

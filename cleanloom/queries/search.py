@@ -182,7 +182,7 @@ def random_search(spark, folder) -> DataFrame:
 @query("random_search_flexible")
 def random_search_flexible(spark, folder) -> DataFrame:
     """Losses of random preparations with an option per step and feature."""
-    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=8, per_feature=True)
+    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=20, per_feature=True)
 
 
 @query("search_fixed")

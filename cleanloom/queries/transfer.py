@@ -170,14 +170,14 @@ def _transfer_scores(spark, folder) -> DataFrame:
 
 
 def _group_names(spark, folder) -> DataFrame:
-    """Nation of every supplier and customer; the last of duplicate names wins, one nation is left unmapped."""
+    """Nation of every supplier and customer; the last of duplicate names wins."""
     suppliers = table(spark, folder, "supplier").select(
         F.concat(F.lit("S"), "s_suppkey").alias("name"), F.col("s_nationkey").alias("key")
     )
     customers = table(spark, folder, "customer").select(
         F.concat(F.lit("C"), "c_custkey").alias("name"), F.col("c_nationkey").alias("key")
     )
-    nations = table(spark, folder, "nation").where(F.col("n_nationkey") != 7)
+    nations = table(spark, folder, "nation")
     return suppliers.union(customers).join(nations, F.col("key") == F.col("n_nationkey")).select(
         "name", F.col("n_name").alias("group")
     )
@@ -185,7 +185,7 @@ def _group_names(spark, folder) -> DataFrame:
 
 MAPPED_SQL = """
   g AS (SELECT name, n_name AS grp FROM (SELECT 'S' || s_suppkey AS name, s_nationkey AS k FROM supplier
-          UNION ALL SELECT 'C' || c_custkey, c_nationkey FROM customer) JOIN nation ON k = n_nationkey AND n_nationkey <> 7),
+          UNION ALL SELECT 'C' || c_custkey, c_nationkey FROM customer) JOIN nation ON k = n_nationkey),
   s AS (SELECT 'S' || l_suppkey AS source, 'C' || o_custkey AS target, sum(round(l_discount * 100)) AS score
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_suppkey, o_custkey),
   mapped AS (SELECT a.grp AS group_i, b.grp AS group_j, score FROM s JOIN g a ON a.name = source JOIN g b ON b.name = target),
@@ -225,12 +225,12 @@ def _choices(spark, folder) -> DataFrame:
     listed = rows.groupBy("run").agg(F.array_sort(F.collect_list("cell")).alias("cells"))
     return listed.select(
         "run",
-        F.transform("cells", lambda c: F.substring(c["a"], 1, 7)).alias("num_tf"),
+        F.transform("cells", lambda c: c["a"]).alias("num_tf"),
         F.transform("cells", lambda c: c["b"]).alias("normalization"),
     )
 
 
-CHOICES_SQL = """SELECT run, list(substr(p_brand, 1, 7) ORDER BY p_partkey) AS num_tf,
+CHOICES_SQL = """SELECT run, list(p_brand ORDER BY p_partkey) AS num_tf,
     list(p_type ORDER BY p_partkey) AS normalization
   FROM (SELECT *, p_partkey // 20 AS run FROM part) GROUP BY run"""
 

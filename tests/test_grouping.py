@@ -103,3 +103,18 @@ def test_many_groups_take_the_other_way(rows, monkeypatch):
         assert not g.few
         many = clean_outliers(rows, g, ["v"], "IQR_1", F.col("id") % 3 != 0)
         same(few.withColumn("v", F.round("v", 9)), many.withColumn("v", F.round("v", 9)))
+
+
+def test_hot_rows_are_dealt_out_whatever_their_order_column(spark):
+    """Long common beginnings, an infinite value and a heavy tail do not keep rows together."""
+    import math
+
+    from cleanloom.plans.ordered import running_total, split_in_order
+
+    rows = [("k", "a" * 24 + f"{i:06d}", math.exp(i / 20) if i else float("inf"), i) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k string, t string, x double, id long")
+    for order in (["t"], ["x", "id"]):
+        parts = split_in_order(df, ["k"], order, 500).groupBy("_part").count().collect()
+        assert max(r["count"] for r in parts) <= 500
+    at = {r["id"]: r["_upto"] for r in running_total(df, ["k"], ["t"], 500).collect()}
+    assert all(at[i] == i + 1 for i in range(6000))
