@@ -35,21 +35,25 @@ def pack_block(ids: np.ndarray) -> np.ndarray:
     n = len(ids)
     if not n:
         return np.zeros(0, np.uint64)
-    # fits[i]: the selector of the word that starts at i; later selectors hold fewer, so the first that fits wins
-    selector = np.zeros(n, np.int64)
-    open_ = np.ones(n, bool)
-    for s in range(1, 16):
-        c, b = int(COUNTS[s]), int(BITS[s])
+    # selector[i]: of the word that starts at i; later selectors hold fewer numbers, so the first that fits wins
+    width = np.frexp(ids.astype(np.float64))[1].astype(np.uint8)  # bits of each number
+    selector = np.zeros(n, np.uint8)
+    for s in range(15, 0, -1):
+        c = int(COUNTS[s])
+        narrow = width <= BITS[s]
         if c > n:
             continue
-        ok = np.concatenate([[0], np.cumsum(ids >= np.uint64(1 << b))])
-        fit = np.zeros(n, bool)
-        fit[: n - c + 1] = ok[c:] == ok[: n - c + 1]
-        fit &= open_
-        selector[fit] = s
-        open_ &= ~fit
-        if not open_.any():
-            break
+        if c <= 8:
+            fit = narrow[: n - c + 1].copy()
+            for k in range(1, c):
+                fit &= narrow[k : n - c + 1 + k]
+        else:
+            wide = np.flatnonzero(~narrow)
+            if np.diff(wide, prepend=-1, append=n).max() <= c:
+                continue  # no run is long enough
+            ahead = np.concatenate([[0], np.cumsum(~narrow)])
+            fit = ahead[c:] == ahead[: n - c + 1]
+        selector[: n - c + 1][fit] = s
     # one number up to 60 bits wide has no selector of its own here: it takes the escape
     step = COUNTS[selector].tolist()
     starts, at = [], 0
@@ -147,7 +151,7 @@ class ChunkEncoder:
     of its runs in turn.
     """
 
-    REMEMBERED = 600_000
+    REMEMBERED = 900_000
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
