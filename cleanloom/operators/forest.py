@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import random_order
 from cleanloom.operators.impute import fill_stat, stat_value
+from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, grouping, spread_by
 from cleanloom.session import cut
 
@@ -18,8 +20,8 @@ from cleanloom.session import cut
 TREES = 100
 SAMPLE = 256
 SCORE_LIMIT = 0.5
-# rows of a group from which the trees draw their samples
-POOL = 4096
+# a tree's sample is looked for among about so many times its size, those of smallest hash
+SPARE = 3
 
 
 def _average_depth(n: np.ndarray) -> np.ndarray:
@@ -45,12 +47,42 @@ def _tree_steps(values: np.ndarray, limit: int, rng: np.random.Generator) -> lis
     return steps
 
 
-def outlier_bounds(pool: np.ndarray, seed: int, trees: int = TREES, sample: int = SAMPLE) -> tuple[bool, list[float]]:
-    """Whether values below the first bound are outliers, and the bounds at which that changes."""
+def tree_hashes(rows: np.ndarray, tree: int) -> np.ndarray:
+    """A random number per row and tree, from a 64-bit hash of the row."""
+    x = rows.astype(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def wanted_by_trees(rows: np.ndarray, n: np.ndarray, trees: int = TREES, sample: int = SAMPLE) -> np.ndarray:
+    """Rows that may be in the sample of some tree, where ``n`` rows of the group have a value.
+
+    A tree takes the rows of smallest hash; SPARE times as many as it needs lie below the limit on average, and fewer
+    than it needs with a chance below 1e-50.
+    """
+    share = np.minimum(1.0, SPARE * sample / np.maximum(n, 1))
+    limit = np.minimum(share * 2.0**64, 2.0**64 - 2048).astype(np.uint64)
+    wanted = share >= 1
+    for tree in range(trees):
+        wanted |= tree_hashes(rows, tree) <= limit
+    return wanted
+
+
+def outlier_bounds(
+    pool: np.ndarray, rows: np.ndarray, seed: int, trees: int = TREES, sample: int = SAMPLE
+) -> tuple[bool, list[float]]:
+    """Whether values below the first bound are outliers, and the bounds at which that changes.
+
+    ``rows`` are hashes of the rows that hold the values; the sample of a tree is the rows of its smallest hashes.
+    """
     rng = np.random.default_rng(seed)
+    by = np.lexsort((rows, pool))
+    pool, rows = pool[by], rows[by]
     size = min(sample, len(pool))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    forest = [_tree_steps(rng.choice(pool, size, replace=False), limit, rng) for _ in range(trees)]
+    samples = (np.argsort(tree_hashes(rows, tree), kind="stable")[:size] for tree in range(trees))
+    forest = [_tree_steps(pool[chosen], limit, rng) for chosen in samples]
     edges = np.unique([upper for steps in forest for upper, _ in steps])
     depth = np.zeros(len(edges))
     for steps in forest:
@@ -78,19 +110,30 @@ def repair_with_forest(
     """O2. Values that a forest of the training rows isolates early get a training statistic, in all splits.
 
     The forest of a column is a step function of the value, so it ends as a few bounds per group; scoring is a
-    column expression. Trees draw from a pool of POOL randomly chosen training rows per group.
+    column expression. Every training row with a value can be in the sample of every tree. Only rows that some tree
+    may take are shuffled: TREES * SPARE * SAMPLE per group and column on average, however large the group.
     """
     g = grouping(df, keys)
-    chosen = g.number(df.where(is_train), [random_order(row_id, seed, "forest"), *row_id]).where(F.col("_rn") <= POOL)
+    counted = g.with_stats(df.where(is_train), {f"_n{i}": st.count(c) for i, c in enumerate(columns)})
     cells = F.array(
-        *[F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v")) for i, c in enumerate(columns)]
+        *[
+            F.struct(F.lit(i).alias("_c"), F.col(c).cast("double").alias("_v"), F.col(f"_n{i}").alias("_n"))
+            for i, c in enumerate(columns)
+        ]
     )
-    pool = chosen.select(*g.keys, F.inline(cells)).where(F.col("_v").isNotNull())
+    rows = counted.select(*g.keys, random_order(row_id, seed, "forest").alias("_row"), F.inline(cells))
+    rows = rows.where(F.col("_v").isNotNull())
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(wanted_by_trees(batch.column("_row").to_numpy(), batch.column("_n").to_numpy())))
+
+    pool = rows.mapInArrow(keep, rows.schema)
     by = [*g.keys, "_c"]
     key_types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pool.schema if f.name in by)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, bounds = outlier_bounds(np.sort(pdf["_v"].to_numpy(dtype=float)), seed)
+        first, bounds = outlier_bounds(pdf["_v"].to_numpy(dtype=float), pdf["_row"].to_numpy(), seed)
         return pdf[by].head(1).assign(_first=[first], _bounds=pd.Series([bounds], index=pdf.index[:1], dtype=object))
 
     fitted = spread_by(pool, by).groupBy(*by).applyInPandas(fit, f"{key_types}, _first boolean, _bounds array<double>")

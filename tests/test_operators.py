@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from cleanloom.operators import cleanse, encode, features, impute, inject, metrics, outliers, partitions, reports
 from cleanloom.operators import scale as scaling
 from cleanloom.operators import search, space, transfer
-from cleanloom.operators.forest import outlier_bounds
+from cleanloom.operators.forest import SAMPLE, TREES, outlier_bounds, tree_hashes, wanted_by_trees
 from cleanloom.operators.learners import estimator
 from cleanloom.plans.grouping import Grouping
 from cleanloom.sources import files
@@ -100,11 +100,27 @@ def test_forest_flags_far_values():
     import numpy as np
 
     pool = np.sort(np.concatenate([np.random.default_rng(0).normal(size=300), [50.0]]))
-    first, bounds = outlier_bounds(pool, 1)
+    first, bounds = outlier_bounds(pool, np.arange(301), 1)
     flagged = lambda x: first != (sum(b < x for b in bounds) % 2 == 1)
     assert flagged(50.0) and flagged(-30.0) and not flagged(0.0)
 
 
+def test_forest_trees_draw_from_all_rows():
+    import numpy as np
+
+    rows = np.random.default_rng(1).integers(0, 1 << 52, 200_000)
+    kept = wanted_by_trees(rows, np.full(len(rows), len(rows)))
+    assert kept.mean() < 0.5
+    drawn = set()
+    for tree in range(TREES):
+        best = np.argsort(tree_hashes(rows, tree), kind="stable")[:SAMPLE]
+        assert kept[best].all()
+        drawn.update(best.tolist())
+    assert len(drawn) > 0.9 * TREES * SAMPLE
+    small = wanted_by_trees(rows[:700], np.full(700, 700))
+    assert small.all()
+
+
 def test_one_hot_of_unknown_values_and_too_many_categories(spark):
     df = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
     out = encode.one_hot(df, {"c": ["a"]})
