@@ -21,11 +21,13 @@ Pass = Callable[[Column, str], dict[str, Stat]]
 
 @dataclass(frozen=True)
 class Option:
-    """``only_train`` restricts all statistics to the training rows; ``apply`` gets the value and the name prefix."""
+    """``apply`` gets the value and the name prefix. ``model`` names a filling that is no column expression: a chain that
+    begins with it starts from a column filled beforehand."""
 
     name: str
     passes: Sequence[Pass] = field(default_factory=tuple)
     apply: Callable[[Column, str], Column] = lambda x, prefix: x
+    model: str = ""
 
 
 IDENTITY = Option("identity")

@@ -7,7 +7,8 @@ split); any combination of choices is then scored on a small sub-matrix, without
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from itertools import permutations
+from functools import reduce
+from itertools import count, permutations
 
 import numpy as np
 import pandas as pd
@@ -15,15 +16,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.operators import options as opt
+from cleanloom.operators.encode import label_encode
 from cleanloom.operators.options import Option
 from cleanloom.operators.scale import scaler_option
-from cleanloom.operators.space import Step, apply_chains, preparation_space
+from cleanloom.operators.space import Step, apply_chains, preparation_space, with_model_fills
 from cleanloom.plans import gram as G
 from cleanloom.plans.grouping import Grouping, grouping
 from cleanloom.plans.ordered import join_on
 
 SPLITS = ("train", "val", "test")
 PENALTY = 1e-3
+# random preparations whose columns stand in one plan
+SEEDS_AT_ONCE = 25
 
 Chain = tuple[Option, ...]
 
@@ -96,7 +100,7 @@ def candidate_sums(
     return placed.select(*by, *names).mapInPandas(partial, f"{types}, gram array<double>")
 
 
-def _descend(train: np.ndarray, val: np.ndarray, d: int, m: int, start: int, rounds: int):
+def _descend(train: np.ndarray, val: np.ndarray, d: int, m: int, start: int, rounds: int | None):
     """Coordinate search: one feature at a time takes the option with the smallest validation loss."""
     choice = [start] * d
     columns = lambda picks: np.array([0, *[1 + f * m + o for f, o in enumerate(picks)], 1 + d * m])
@@ -107,7 +111,7 @@ def _descend(train: np.ndarray, val: np.ndarray, d: int, m: int, start: int, rou
         return G.mean_squared_error(val[at[:, :, None], at[:, None, :]], fit)
 
     best = float(losses([choice])[0])
-    for _ in range(rounds):
+    for _ in count() if rounds is None else range(rounds):
         changed = False
         for f in range(d):
             tried = losses([[*choice[:f], o, *choice[f + 1 :]] for o in range(m)])
@@ -129,20 +133,23 @@ def search_chains(
     row_id: Sequence[str],
     start: int = 0,
     split: str = "split",
-    rounds: int = 5,
+    rounds: int | None = None,
+    target_as: str = "value",
 ) -> DataFrame:
     """Choose one chain per feature and key so that a linear model's validation loss is small.
 
     Starts with chain ``start`` for all features. One row per key: chosen chain names in feature order, the losses of
-    the start and of the result, in units of the standardised training target.
+    the start and of the result, in units of the standardised training target. Rounds over the features go on until
+    none improves, or for ``rounds``. ``target_as="rank"`` takes the dense rank of the target among all rows of the key.
     """
     g = grouping(df, keys)
     train = F.col(split) == "train"
+    df, target = _shaped_target(df, g, target, target_as)
     names = [f"_x{f}_{o}" for f in range(len(features)) for o in range(len(chains))]
     wanted = {
         f"_x{f}_{o}": (c, chain) for f, c in enumerate(features) for o, chain in enumerate(chains)
     }
-    ready = apply_chains(df.where(F.col(target).isNotNull()), g, wanted, train)
+    ready = apply_chains(df, g, wanted, train, row_id)
     ready = opt.run(ready, g, {"_y": (target, scaler_option("ZS"))}, train)
     sums = candidate_sums(ready, g, [*names, "_y"], row_id, split)
     by = g.keys or ["_all"]
@@ -175,6 +182,14 @@ def search_chains(
     return result if g.keys else result.drop("_all")
 
 
+def _shaped_target(df: DataFrame, g: Grouping, target: str, target_as: str) -> tuple[DataFrame, str]:
+    """Rows with a target, and the column to predict: the target or its dense rank inside the key (N-Y)."""
+    if target_as not in ("value", "rank"):
+        raise ValueError("target_as must be 'value' or 'rank'")
+    rows = df.where(F.col(target).isNotNull())
+    return (rows, target) if target_as == "value" else (label_encode(rows, target, "_target_rank", g.keys), "_target_rank")
+
+
 def search_fixed(
     df: DataFrame,
     keys: Sequence[str] | Grouping,
@@ -183,14 +198,15 @@ def search_fixed(
     row_id: Sequence[str],
     steps: Sequence[str] = ("missing_value_imputation", "normalization"),
     extra: Sequence[Option] = (),
+    target_as: str = "value",
 ) -> DataFrame:
     """R4. Options of the steps in their fixed order, chosen per feature. ``extra`` are further imputers."""
-    space = preparation_space()
+    space = preparation_space(models=True)
     if extra:
         first = space[0]
         space[0] = Step(first.name, (*first.options, *extra), first.default, first.start)
     chains = fixed_chains(space, steps)
-    return search_chains(df, keys, features, target, chains, row_id, default_position(chains, space))
+    return search_chains(df, keys, features, target, chains, row_id, default_position(chains, space), target_as=target_as)
 
 
 def search_flexible(
@@ -202,7 +218,7 @@ def search_flexible(
     picks: Sequence[str] = ("ZS", "ZS_3", "uniform_10"),
 ) -> DataFrame:
     """R5. The order of scaling, cleaning and binning is chosen per feature as well."""
-    return search_chains(df, keys, features, target, flexible_chains(preparation_space(), picks), row_id)
+    return search_chains(df, keys, features, target, flexible_chains(preparation_space(models=True), picks), row_id)
 
 
 # -- random search --------------------------------------------------------------------------------------------------
@@ -231,31 +247,41 @@ def random_search(
     per_feature: bool = False,
     split: str = "split",
     space: Sequence[Step] | None = None,
+    row_id: Sequence[str] = (),
+    target_as: str = "value",
 ) -> DataFrame:
-    """R2, R3. Losses of ``seeds`` random preparations per key: keys, seed, best_val_loss, best_tr_loss, best_test_loss."""
+    """R2, R3. Losses of ``seeds`` random preparations per key: keys, seed, best_val_loss, best_tr_loss, best_test_loss.
+
+    With ``row_id`` the imputers include nearest rows and chained equations."""
     g = grouping(df, keys)
     train = F.col(split) == "train"
-    steps = list(space or preparation_space())
+    df, target = _shaped_target(df, g, target, target_as)
+    steps = list(space or preparation_space(bool(row_id)))
     found = random_candidates(steps, seeds, features if per_feature else None)
-    wanted, columns = {}, []
+    chains = {}
     for s, picks in enumerate(found):
-        row = []
         for f, c in enumerate(features):
             names = picks[c] if per_feature else picks[""]
-            wanted[f"_x{s}_{f}"] = (c, tuple(step.option(n) for step, n in zip(steps, names, strict=True)))
-            row.append(f"_x{s}_{f}")
-        columns.append(row)
-    ready = apply_chains(df.where(F.col(target).isNotNull()), g, wanted, train)
-    ready = opt.run(ready, g, {"_y": (target, scaler_option("ZS"))}, train)
-    cases = [
-        F.struct(
-            F.lit(s).alias("seed"), F.array(*[F.coalesce(F.col(c), F.lit(0.0)) for c in row], F.col("_y")).alias("_x")
-        )
-        for s, row in enumerate(columns)
-    ]
-    long = ready.select(*g.keys, split, F.inline(F.array(*cases)))
+            chains[f"_x{s}_{f}"] = (c, tuple(step.option(n) for step, n in zip(steps, names, strict=True)))
+    filled = with_model_fills(df, g, chains, train, row_id)
     n = len(features) + 1
-    grams = G.gram(long, [*g.keys, "seed", split], [F.col("_x")[i] for i in range(n)])
+
+    def sums(first: int) -> DataFrame:
+        """Sums of products of the seeds from ``first``; a plan of all seeds would be too long to compile."""
+        some = range(first, min(first + SEEDS_AT_ONCE, seeds))
+        ready = apply_chains(filled, g, {f"_x{s}_{f}": chains[f"_x{s}_{f}"] for s in some for f in range(n - 1)}, train, row_id)
+        ready = opt.run(ready, g, {"_y": (target, scaler_option("ZS"))}, train)
+        cases = [
+            F.struct(
+                F.lit(s).alias("seed"),
+                F.array(*[F.coalesce(F.col(f"_x{s}_{f}"), F.lit(0.0)) for f in range(n - 1)], F.col("_y")).alias("_x"),
+            )
+            for s in some
+        ]
+        long = ready.select(*g.keys, split, F.inline(F.array(*cases)))
+        return G.gram(long, [*g.keys, "seed", split], [F.col("_x")[i] for i in range(n)])
+
+    grams = reduce(DataFrame.unionByName, [sums(first) for first in range(0, seeds, SEEDS_AT_ONCE)])
     wide = grams.groupBy(*g.keys, "seed").agg(
         *[F.max(F.when(F.col(split) == s, F.col("gram"))).alias(f"_{s}") for s in SPLITS]
     )

@@ -14,10 +14,13 @@ from pyspark.sql import functions as F
 from cleanloom.operators import options as opt
 from cleanloom.operators.bins import quantile_option, uniform_option
 from cleanloom.operators.impute import FILLS, imputer_option
+from cleanloom.operators.impute_chain import impute_chain
+from cleanloom.operators.impute_knn import impute_knn
 from cleanloom.operators.options import Option
 from cleanloom.operators.outliers import CLEANERS, cleaner_option
 from cleanloom.operators.scale import SCALERS, scaler_option
 from cleanloom.plans.grouping import Grouping, grouping
+from cleanloom.session import cut
 
 
 @dataclass(frozen=True)
@@ -36,12 +39,17 @@ class Step:
         raise ValueError(f"step {self.name!r} has no option {name!r}")
 
 
-def preparation_space() -> list[Step]:
-    """The four steps in their fixed order. Nearest-row and chained filling are columns of their own, not options of
-    a column expression, and can be added as source columns in a search."""
+# imputers that are no column expression: each fills a copy of all source columns once, which all chains share
+MODEL_FILLS = {"knn": impute_knn, "mice": impute_chain}
+
+
+def preparation_space(models: bool = False) -> list[Step]:
+    """The four steps in their fixed order. With ``models`` the imputers include nearest rows and chained equations,
+    which need ``row_id`` where they are applied."""
+    imputers = [*(imputer_option(m) for m in FILLS), *(opt.Option(m, model=m) for m in MODEL_FILLS if models)]
     bins = [make(n) for make in (uniform_option, quantile_option) for n in (5, 10, 20)]
     return [
-        Step("missing_value_imputation", tuple(imputer_option(m) for m in FILLS), "mean", ("mean", 0.5)),
+        Step("missing_value_imputation", tuple(imputers), "mean", ("mean", 0.5)),
         Step("normalization", tuple(scaler_option(k) for k in SCALERS), "ZS", ("ZS", 0.5)),
         Step("cleaning_outliers", tuple(cleaner_option(r) for r in CLEANERS), "identity", ("identity", 0.5)),
         Step("discretization", (*bins, opt.IDENTITY), "identity", ("identity", 0.5)),
@@ -53,13 +61,38 @@ def apply_chains(
     g: Grouping,
     chains: Mapping[str, tuple[str, Sequence[Option]]],
     is_train: Column | None = None,
+    row_id: Sequence[str] = (),
 ) -> DataFrame:
     """Add one column per chain: ``{new column: (source, options in order)}``.
 
     Chains that begin with the same options on the same source share those columns, and each position of all chains
-    is fitted together.
+    is fitted together. Model fillings run first, over all sources at once, and are written once.
     """
-    return g.each(df, lambda rows, part: _apply_chains(rows, part, chains, is_train))
+    filled = with_model_fills(df, g, chains, is_train, row_id)
+    out = g.each(filled, lambda rows, part: _apply_chains(rows, part, chains, is_train))
+    return out.drop(*[c for c in filled.columns if c not in df.columns])
+
+
+def _filled(model: str, column: str) -> str:
+    return f"_fill_{model}_{column}"
+
+
+def with_model_fills(
+    df: DataFrame, g: Grouping, chains: Mapping[str, tuple[str, Sequence[Option]]], is_train: Column | None, row_id: Sequence[str]
+) -> DataFrame:
+    """Add the model fillings that ``chains`` begin with and ``df`` does not have yet, and write the result once."""
+    sources = list(dict.fromkeys(source for source, _ in chains.values()))
+    models = sorted({chain[0].model for _, chain in chains.values() if chain and chain[0].model})
+    models = [m for m in models if _filled(m, sources[0]) not in df.columns]
+    if not models:
+        return df
+    if not row_id:
+        raise ValueError(f"the imputers {models} need row_id")
+    out = df
+    for m in models:
+        copies = {_filled(m, c): F.col(c).cast("double") for c in sources}
+        out = MODEL_FILLS[m](out.withColumns(copies), g, list(copies), row_id, is_train)
+    return cut(out)
 
 
 def _apply_chains(df: DataFrame, g: Grouping, chains, is_train: Column | None) -> DataFrame:
@@ -73,7 +106,8 @@ def _apply_chains(df: DataFrame, g: Grouping, chains, is_train: Column | None) -
                 continue
             prefix = (source, *[o.name for o in chain[:level]])
             if prefix not in made:
-                before = made[prefix[:-1]] if level > 1 else source
+                first = _filled(chain[0].model, source) if chain[0].model else source
+                before = made[prefix[:-1]] if level > 1 else first
                 made[prefix] = f"_p{len(made)}"
                 work[made[prefix]] = (before, chain[level - 1])
         out = opt.run(out, g, work, is_train)
@@ -90,13 +124,14 @@ def prepare(
     choice: Mapping[str, Sequence[str]],
     is_train: Column | None = None,
     space: Sequence[Step] | None = None,
+    row_id: Sequence[str] = (),
 ) -> DataFrame:
     """Replace each column by the result of its chosen options, one name per step."""
-    steps = list(space or preparation_space())
+    steps = list(space or preparation_space(bool(row_id)))
     chains = {
         f"_n_{c}": (c, [s.option(n) for s, n in zip(steps, names, strict=True)]) for c, names in choice.items()
     }
-    out = apply_chains(df, grouping(df, keys), chains, is_train)
+    out = apply_chains(df, grouping(df, keys), chains, is_train, row_id)
     return out.withColumns({c: F.col(f"_n_{c}") for c in choice}).drop(*chains)
 
 

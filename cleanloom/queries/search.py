@@ -176,13 +176,20 @@ def random_best_of(spark, folder) -> DataFrame:
 @query("random_search")
 def random_search(spark, folder) -> DataFrame:
     """Losses of 20 random preparations per supplier, one option per step."""
-    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=20)
+    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=20, row_id=LINE_ID)
+
+
+@query("random_search_best_of")
+def random_search_best_of(spark, folder) -> DataFrame:
+    """The best of 20 and of 50 random preparations per supplier, by validation loss."""
+    found = search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=50, row_id=LINE_ID)
+    return search.best_by_seed(found, SUPPLIER)
 
 
 @query("random_search_flexible")
 def random_search_flexible(spark, folder) -> DataFrame:
     """Losses of random preparations with an option per step and feature."""
-    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=20, per_feature=True)
+    return search.random_search(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, seeds=20, per_feature=True, row_id=LINE_ID)
 
 
 @query("search_fixed")
@@ -190,6 +197,12 @@ def search_fixed(spark, folder) -> DataFrame:
     return search.search_fixed(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, LINE_ID)
 
 
+@query("search_rank_target")
+def search_rank_target(spark, folder) -> DataFrame:
+    """The search with the dense rank of the price as its target."""
+    return search.search_fixed(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, LINE_ID, target_as="rank")
+
+
 @query("search_flexible")
 def search_flexible(spark, folder) -> DataFrame:
     return search.search_flexible(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, LINE_ID)
