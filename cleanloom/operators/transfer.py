@@ -31,30 +31,40 @@ def method_ranks(
     return rank_within(filled, by_row, "_score", ties, out).drop("_worst", "_score")
 
 
-def partition_pairs(df: DataFrame, keys: Sequence[str], values: Sequence[str], partition: str = "partition_id") -> DataFrame:
+def partition_pairs(
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Sequence[str],
+    partition: str = "partition_id",
+    max_distance: int | None = None,
+) -> DataFrame:
     """X8. All pairs of partitions i < j of a series, with ``values`` of both sides as ``<name>_i`` and ``<name>_j``.
 
+    Their number grows with the square of a series' length. ``max_distance`` asks for pairs with j - i up to it only;
+    the work then grows with the length.
     The self-join runs over cells of CELL x CELL partitions, so a series with very many partitions is spread over
     many tasks instead of meeting in one.
     """
     # a few columns per partition: written once, so that the rows behind them are not read for each side again
     small = cut(df.select(*keys, partition, *values))
     largest = small.groupBy(*keys).agg(F.max(F.floor(F.col(partition) / CELL)).alias("_last"))
+    near = None if max_distance is None else F.lit(max_distance)
     left = join_on(
         small.select(*keys, F.col(partition).alias("i"), *[F.col(v).alias(f"{v}_i") for v in values]), largest, keys
     )
     left = (
         left.withColumn("_ci", F.floor(F.col("i") / CELL))
-        .withColumn("_cj", F.explode(F.sequence("_ci", "_last")))
+        .withColumn("_cj", F.explode(F.sequence("_ci", F.col("_last") if near is None else F.least("_last", F.floor((F.col("i") + near) / CELL)))))
         .drop("_last")
     )
+    zero = F.lit(0).cast("bigint")
     right = (
         small.select(*keys, F.col(partition).alias("j"), *[F.col(v).alias(f"{v}_j") for v in values])
         .withColumn("_cj", F.floor(F.col("j") / CELL))
-        .withColumn("_ci", F.explode(F.sequence(F.lit(0).cast("bigint"), "_cj")))
+        .withColumn("_ci", F.explode(F.sequence(zero if near is None else F.greatest(zero, F.floor((F.col("j") - near) / CELL)), F.col("_cj"))))
     )
-    both = join_on(left, right, [*keys, "_ci", "_cj"], "inner")
-    return both.where(F.col("i") < F.col("j")).drop("_ci", "_cj")
+    both = join_on(left, right, [*keys, "_ci", "_cj"], "inner").where(F.col("i") < F.col("j")).drop("_ci", "_cj")
+    return both if near is None else both.where(F.col("j") - F.col("i") <= near)
 
 
 def partition_midpoints(df: DataFrame, keys: Sequence[str], time: str, partition: str = "partition_id") -> DataFrame:
@@ -106,42 +116,66 @@ def unpivot_scores(wide: DataFrame, keys: Sequence[str], methods: Sequence[str],
     return wide.unpivot(list(keys), list(methods), "metric", value)
 
 
-def rank_difference(scores: DataFrame, series: Sequence[str], value: str = "rmse", ties: str = "min") -> DataFrame:
+# The pair measures take ``max_distance`` (see ``partition_pairs``) and ``carry``: columns of a partition, such as its
+# midpoint, that every pair gets for both sides.
+
+
+def _sides(carry: Sequence[str]) -> list[str]:
+    return [f"{c}_{side}" for c in carry for side in "ij"]
+
+
+def rank_difference(
+    scores: DataFrame,
+    series: Sequence[str],
+    value: str = "rmse",
+    ties: str = "min",
+    max_distance: int | None = None,
+    carry: Sequence[str] = (),
+) -> DataFrame:
     """X2, X11. Absolute difference of a method's rank between all partition pairs of a series."""
-    ranked = rank_within(
-        scores, Grouping.bounded([*series, "partition_id", "model"]), value, ties
-    )
-    pairs = partition_pairs(ranked, [*series, "model", "method"], ["rank"])
-    return pairs.select(
-        *series, "model", "method", "i", "j", F.abs(F.col("rank_i") - F.col("rank_j")).alias("rank_difference")
-    )
+    ranked = rank_within(scores, Grouping.bounded([*series, "partition_id", "model"]), value, ties)
+    pairs = partition_pairs(ranked, [*series, "model", "method"], ["rank", *carry], max_distance=max_distance)
+    difference = F.abs(F.col("rank_i") - F.col("rank_j")).alias("rank_difference")
+    return pairs.select(*series, "model", "method", "i", "j", difference, *_sides(carry))
 
 
-def performance_ratio(scores: DataFrame, series: Sequence[str], value: str = "rmse") -> DataFrame:
+def performance_ratio(
+    scores: DataFrame, series: Sequence[str], value: str = "rmse", max_distance: int | None = None, carry: Sequence[str] = ()
+) -> DataFrame:
     """X3, X11. ``(later + m) / (earlier + m)`` for all partition pairs, where m is the smallest positive score in the
     two partitions (over all models and methods), at most 1e-3."""
     part = [*series, "partition_id"]
     smallest = scores.groupBy(*part).agg(F.min(F.when(F.col(value) > 0, F.col(value))).alias("_least"))
-    kept = join_on(scores, smallest, part).select(*part, "model", "method", F.col(value).alias("score"), "_least")
-    pairs = partition_pairs(kept, [*series, "model", "method"], ["score", "_least"])
+    kept = join_on(scores, smallest, part).select(*part, "model", "method", F.col(value).alias("score"), "_least", *carry)
+    pairs = partition_pairs(kept, [*series, "model", "method"], ["score", "_least", *carry], max_distance=max_distance)
     m = F.least(F.lit(RATIO_FLOOR), F.col("_least_i"), F.col("_least_j"))
-    return pairs.select(
-        *series, "model", "method", "i", "j",
-        F.try_divide(F.col("score_j") + m, F.col("score_i") + m).alias("performance_ratio"),
-    )
+    ratio = F.try_divide(F.col("score_j") + m, F.col("score_i") + m).alias("performance_ratio")
+    return pairs.select(*series, "model", "method", "i", "j", ratio, *_sides(carry))
 
 
 def abs_difference_ratio(
-    scores: DataFrame, series: Sequence[str], value: str = "rmse", base_method: str = "Noclean"
+    scores: DataFrame,
+    series: Sequence[str],
+    value: str = "rmse",
+    base_method: str = "Noclean",
+    max_distance: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """X4. Score change of a method relative to the change of the base method, for all partition pairs."""
     part = [*series, "partition_id", "model"]
     base = scores.where(F.col("method") == base_method).select(*part, F.col(value).alias("base"))
-    kept = join_on(scores.select(*part, "method", F.col(value).alias("score")), base, part, "inner")
-    pairs = partition_pairs(kept, [*series, "model", "method"], ["score", "base"])
+    kept = join_on(scores.select(*part, "method", F.col(value).alias("score"), *carry), base, part, "inner")
+    pairs = partition_pairs(kept, [*series, "model", "method"], ["score", "base", *carry], max_distance=max_distance)
     eps = F.lit(DIFF_EPS)
     ratio = (F.abs(F.col("score_i") - F.col("score_j")) + eps) / (F.abs(F.col("base_i") - F.col("base_j")) + eps)
-    return pairs.select(*series, "model", "method", "i", "j", ratio.alias("abs_diff_ratio"))
+    return pairs.select(*series, "model", "method", "i", "j", ratio.alias("abs_diff_ratio"), *_sides(carry))
+
+
+def mean_by_distance(pairs: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
+    """X11 in short. Mean of a pair measure and number of pairs per ``keys`` and distance in days, from pairs that carry
+    the midpoint ``mid``. Pairs are added up where they are made; they are neither written nor shuffled."""
+    distance = distance_in_days(F.col("mid_i"), F.col("mid_j")).alias("distance")
+    return pairs.groupBy(*keys, distance).agg(F.avg(measure).alias(measure), F.count(measure).alias("n_pairs"))
 
 
 def with_distance(pairs: DataFrame, distances: DataFrame, series: Sequence[str]) -> DataFrame:

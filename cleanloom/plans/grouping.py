@@ -21,7 +21,7 @@ from cleanloom.session import cut
 # rows one task may sort for one group; about 200 MB of narrow rows
 MAX_GROUP_ROWS = 2_000_000
 
-# with at most this many groups, a table of one row per group is sent to every task
+# with at most this many groups, or hot groups, a table of one row per group is sent to every task
 FEW_GROUPS = 100_000
 
 
@@ -35,6 +35,7 @@ class Grouping:
         only_hot: bool = False,
         cut_stats: bool = False,
         few: bool = False,
+        few_hot: bool = True,
     ):
         self.keys = list(keys)
         self.hot = hot
@@ -43,6 +44,7 @@ class Grouping:
         self.only_hot = only_hot
         self.cut_stats = cut_stats
         self.few = few
+        self.few_hot = few_hot
 
     @classmethod
     def of(cls, df: DataFrame, keys: Sequence[str], max_rows: int | None = None) -> Grouping:
@@ -51,7 +53,8 @@ class Grouping:
         counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
         seen = counts.agg(F.count(F.lit(1)).alias("groups"), F.max("_n").alias("largest")).first()
         hot = cut(counts.where(F.col("_n") > max_rows)) if (seen["largest"] or 0) > max_rows else None
-        return cls(keys, hot, False, max_rows, few=seen["groups"] <= FEW_GROUPS)
+        few_hot = hot is None or seen["groups"] <= FEW_GROUPS or hot.count() <= FEW_GROUPS
+        return cls(keys, hot, False, max_rows, few=seen["groups"] <= FEW_GROUPS, few_hot=few_hot)
 
     @classmethod
     def bounded(cls, keys: Sequence[str]) -> Grouping:
@@ -67,8 +70,8 @@ class Grouping:
         if not self.keys or self.only_hot:
             return None, df
         return (
-            join_on(df, self.hot.select(*self.keys), self.keys, "left_anti", small=True),
-            join_on(df, self.hot.select(*self.keys), self.keys, "left_semi", small=True),
+            join_on(df, self.hot.select(*self.keys), self.keys, "left_anti", small=self.few_hot),
+            join_on(df, self.hot.select(*self.keys), self.keys, "left_semi", small=self.few_hot),
         )
 
     def _both(self, df: DataFrame, plain: Callable, spread: Callable) -> DataFrame:
@@ -86,12 +89,12 @@ class Grouping:
         if self.is_bounded or self.cut_stats:
             return work(df, self)
         if not self.keys or self.few:
-            return work(df, Grouping(self.keys, self.hot, False, self.max_rows, cut_stats=True, few=self.few))
+            return work(df, Grouping(self.keys, self.hot, False, self.max_rows, cut_stats=True, few=self.few, few_hot=self.few_hot))
         cold, hot = self.split(df)
         out = work(cold, Grouping.bounded(self.keys))
         if hot is None:
             return out
-        spread = Grouping(self.keys, self.hot, False, self.max_rows, only_hot=True, cut_stats=True)
+        spread = Grouping(self.keys, self.hot, False, self.max_rows, only_hot=True, cut_stats=True, few_hot=self.few_hot)
         return out.unionByName(work(hot, spread))
 
     # -- statistics ---------------------------------------------------------------------------------------------
@@ -110,7 +113,7 @@ class Grouping:
                 if s.needs_sorted_values:
                     found = self._sorted_stat(rows, name, s)
                     # one row per hot key on both sides
-                    out = join_on(out, found, self.keys, "left", small=True) if self.keys else _beside(out, found)
+                    out = join_on(out, found, self.keys, "left", small=self.few_hot) if self.keys else _beside(out, found)
             # no value at all gives an empty list of cuts on the plain path
             empty = {n: F.coalesce(F.col(n), F.array()) for n, s in specs.items() if s.kind == "cuts"}
             return out.withColumns(empty).select(*self.keys, *specs)
@@ -171,8 +174,8 @@ class Grouping:
             return join_on(df, stats, self.keys, "left", small=True)
 
         def spread(rows: DataFrame) -> DataFrame:
-            few = join_on(stats, self.hot.select(*self.keys), self.keys, "left_semi", small=True)
-            return join_on(rows, few, self.keys, "left", small=True)
+            few = join_on(stats, self.hot.select(*self.keys), self.keys, "left_semi", small=self.few_hot)
+            return join_on(rows, few, self.keys, "left", small=self.few_hot)
 
         return self._both(df, lambda rows: join_on(rows, stats, self.keys, "left"), spread)
 

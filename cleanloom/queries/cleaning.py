@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.operators import bins, cleanse, encode, impute, outliers, scale
+from cleanloom.operators.build import build_data as build
 from cleanloom.plans.grouping import Grouping
 from cleanloom.queries.inputs import (
     GAPPY_EVENT_SQL,
@@ -578,3 +579,16 @@ def feature_concat(spark, folder) -> DataFrame:
     rows = table(spark, folder, "customer")
     vocabulary = encode.categories(rows, ["c_mktsegment"])
     return encode.feature_block(rows, ["c_acctbal", "c_nationkey"], vocabulary, keep=["c_custkey"])
+
+
+@query(
+    "build_data",
+    """WITH r AS (SELECT *, row_number() OVER (ORDER BY (c_custkey * 2654435761) % 1000003, c_custkey) AS rn, count(*) OVER () AS n,
+        dense_rank() OVER (ORDER BY c_mktsegment) - 1 AS code FROM customer)
+    SELECT c_custkey, c_nationkey, c_acctbal, code AS c_mktsegment,
+      CASE WHEN rn <= floor(0.2 * n) THEN 'test' WHEN rn <= 2 * floor(0.2 * n) THEN 'val' ELSE 'train' END AS split FROM r""",
+)
+def build_data(spark, folder) -> DataFrame:
+    """Customers to predict the segment of: the name is too wide, and one column has no value."""
+    rows = table(spark, folder, "customer").withColumn("nothing", F.lit(None).cast("double"))
+    return build(rows, "c_mktsegment", [(F.col("c_custkey") * 2654435761) % 1000003, "c_custkey"], max_categories=100)

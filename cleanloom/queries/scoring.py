@@ -305,8 +305,25 @@ def _labelled(spark, folder) -> tuple[DataFrame, DataFrame, list[str]]:
     return encoded.where(~test), encoded.where(test), ["n_chars", *plain]
 
 
-def _model_query(name: str, model: str) -> None:
-    @query(name)
+def _naive_bayes_sql() -> str:
+    """Gaussian likelihoods per class and feature, variances widened by a billionth of the largest variance."""
+    return """WITH r AS (SELECT doc_id, quality, lang, source, n_chars FROM labels JOIN documents USING (doc_id)),
+      f(kind, cat) AS (SELECT DISTINCT 'lang', lang FROM r WHERE lang IS NOT NULL UNION ALL SELECT DISTINCT 'source', source FROM r WHERE source IS NOT NULL),
+      x AS (SELECT doc_id, quality, 'n_chars' AS kind, '' AS cat, n_chars::DOUBLE AS v FROM r
+        UNION ALL SELECT doc_id, quality, kind, cat,
+          CASE WHEN CASE kind WHEN 'lang' THEN lang ELSE source END = cat THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END FROM r, f),
+      t AS (SELECT * FROM x WHERE doc_id % 5 <> 0),
+      e AS (SELECT max(s) * 1e-9 AS eps FROM (SELECT avg(v * v) - avg(v) * avg(v) AS s FROM t GROUP BY kind, cat)),
+      g AS (SELECT quality AS y, kind, cat, avg(v) AS m, avg(v * v) - avg(v) * avg(v) + any_value(eps) AS s FROM t, e GROUP BY ALL),
+      p AS (SELECT quality AS y, ln(count(*)::DOUBLE) AS prior FROM r WHERE doc_id % 5 <> 0 GROUP BY quality),
+      l AS (SELECT x.doc_id, x.quality, g.y, any_value(p.prior) - 0.5 * sum(ln(g.s) + (x.v - g.m) * (x.v - g.m) / g.s) AS score
+        FROM x JOIN g ON x.kind = g.kind AND x.cat = g.cat JOIN p ON p.y = g.y WHERE x.doc_id % 5 = 0 GROUP BY x.doc_id, x.quality, g.y)
+    SELECT doc_id, quality, CAST(y AS DOUBLE) AS prediction FROM (
+      SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, y) AS rn FROM l) WHERE rn = 1"""
+
+
+def _model_query(name: str, model: str, sql: str | None = None) -> None:
+    @query(name, sql)
     def run(spark, folder) -> DataFrame:
         train, test, columns = _labelled(spark, folder)
         return learners.predict(train, test, columns, "quality", model).select("doc_id", "quality", "prediction")
@@ -316,13 +333,13 @@ for _name, _model in (
     ("model_logistic", "logistic_regression"),
     ("model_tree", "decision_tree"),
     ("model_forest", "random_forest"),
-    ("model_nb", "naive_bayes"),
     ("model_svm", "svm"),
     ("model_boost", "ada_boost"),
     ("model_rf_regressor", "rf_regressor"),
     ("model_gbt", "gbt_regressor"),
 ):
     _model_query(_name, _model)
+_model_query("model_nb", "naive_bayes", _naive_bayes_sql())
 
 
 # -- the sweep ------------------------------------------------------------------------------------------------------

@@ -127,6 +127,43 @@ def performance_ratio(spark, folder) -> DataFrame:
     return out.withColumn("performance_ratio", rounded("performance_ratio"))
 
 
+def _placed_scores(spark, folder) -> DataFrame:
+    """Scores with the midpoint of their partition."""
+    mids = transfer.partition_midpoints(_parts(spark, folder), SUPPLIER, "l_shipdate").select(*PART, "mid")
+    return transfer.attach_midpoint(_scores(spark, folder), mids, PART)
+
+
+@query(
+    "performance_ratio_by_distance",
+    f"""WITH m AS ({MIDS_SQL}), d AS ({DISTANCE_SQL}),
+      s AS (SELECT *, min(CASE WHEN rmse > 0 THEN rmse END) OVER (PARTITION BY l_suppkey, partition_id) AS least FROM ({SCORES_SQL})),
+      p AS ({_pair_sql("(b.rmse + least(0.001, a.least, b.least)) / (a.rmse + least(0.001, a.least, b.least)) AS ratio", "s")})
+    SELECT p.l_suppkey, p.method, d.distance, {sql_rounded("avg(p.ratio)")} AS performance_ratio, count(*) AS n_pairs
+    FROM p JOIN d ON p.l_suppkey = d.l_suppkey AND p.i = d.i AND p.j = d.j GROUP BY p.l_suppkey, p.method, d.distance""",
+)
+def performance_ratio_by_distance(spark, folder) -> DataFrame:
+    """Mean ratio per distance in days: the pairs themselves are not kept."""
+    pairs = transfer.performance_ratio(_placed_scores(spark, folder), SUPPLIER, carry=["mid"])
+    out = transfer.mean_by_distance(pairs, [*SUPPLIER, "method"], "performance_ratio")
+    return out.withColumn("performance_ratio", rounded("performance_ratio"))
+
+
+@query(
+    "rank_average_by_distance",
+    f"""WITH m AS ({MIDS_SQL}), d AS ({DISTANCE_SQL}),
+      r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey, partition_id, model ORDER BY rmse)
+        + (count(*) OVER (PARTITION BY l_suppkey, partition_id, model, rmse) - 1) / 2.0::DOUBLE AS rank FROM ({SCORES_SQL})),
+      p AS ({_pair_sql("abs(a.rank - b.rank) AS rank_difference", "r")})
+    SELECT p.l_suppkey, p.method, d.distance, {sql_rounded("avg(p.rank_difference)")} AS rank_difference, count(*) AS n_pairs
+    FROM p JOIN d ON p.l_suppkey = d.l_suppkey AND p.i = d.i AND p.j = d.j WHERE p.j - p.i <= 3 GROUP BY p.l_suppkey, p.method, d.distance""",
+)
+def rank_average_by_distance(spark, folder) -> DataFrame:
+    """Mean difference of average ranks between partitions at most three steps apart."""
+    pairs = transfer.rank_difference(_placed_scores(spark, folder), SUPPLIER, ties="average", max_distance=3, carry=["mid"])
+    out = transfer.mean_by_distance(pairs, [*SUPPLIER, "method"], "rank_difference")
+    return out.withColumn("rank_difference", rounded("rank_difference"))
+
+
 @query(
     "abs_diff_ratio",
     f"""WITH s AS ({SCORES_SQL}), t AS (SELECT s.*, n.rmse AS base FROM s JOIN s n ON s.l_suppkey = n.l_suppkey

@@ -259,3 +259,38 @@ def test_every_query_with_sql_names_a_query():
     from cleanloom.queries import catalog
 
     assert set(catalog.SQL) <= set(catalog.QUERIES) and len(catalog.QUERIES) > 100
+
+
+def test_build_data_codes_the_label_and_drops_useless_columns(spark):
+    from cleanloom.operators.build import build_data
+
+    df = spark.createDataFrame([(i, f"n{i}", "ab"[i % 2] if i else None, 1.0, None) for i in range(20)], "id int, name string, y string, v double, void double")
+    out = build_data(df, "y", ["id"], max_categories=5)
+    assert out.columns == ["id", "y", "v", "split"]
+    assert rows(out.groupBy("split").count(), "split", "count") == [("test", 4), ("train", 12), ("val", 4)]
+    assert rows(out.where("id < 3"), "id", "y") == [(0, None), (1, 1), (2, 0)]
+
+
+def test_pairs_up_to_a_distance(spark, monkeypatch):
+    df = spark.range(40).select(F.lit("s").alias("k"), F.col("id").alias("partition_id"), (F.col("id") * 2).alias("v"))
+    for cell in (256, 7):
+        monkeypatch.setattr(transfer, "CELL", cell)
+        every = rows(transfer.partition_pairs(df, ["k"], ["v"]), "i", "j", "v_i", "v_j")
+        near = rows(transfer.partition_pairs(df, ["k"], ["v"], max_distance=9), "i", "j", "v_i", "v_j")
+        assert len(every) == 40 * 39 // 2 and near == [r for r in every if r[1] - r[0] <= 9]
+
+
+def test_search_takes_model_fills_and_rank_targets(spark):
+    data = [("k", i, None if i % 7 == 3 else float(i % 11), float((i % 11) * 3 + (i % 2)), ("train", "train", "val", "test")[i % 4]) for i in range(80)]
+    df = spark.createDataFrame(data, "k string, id int, x double, y double, split string")
+    for target_as in ("value", "rank"):
+        found = search.search_fixed(df, ["k"], ["x"], "y", ["id"], target_as=target_as).first()
+        assert found["best_val_loss"] <= found["start_val_loss"] + 1e-12
+    names = {o.name for o in space.preparation_space(models=True)[0].options}
+    assert {"knn", "mice"} <= names
+    with pytest.raises(ValueError):
+        search.random_search(df, ["k"], ["x"], "y", space=space.preparation_space(models=True)).count()
+    losses = search.random_search(df, ["k"], ["x"], "y", seeds=27, row_id=["id"])
+    assert losses.where("best_val_loss is not null").count() == 27
+    with pytest.raises(ValueError):
+        search.search_fixed(df, ["k"], ["x"], "y", ["id"], target_as="log")
