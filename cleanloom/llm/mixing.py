@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from cleanloom.session import cut
 SCHEDULES = (((0.0, 1.5), (1.0, 0.5)), ((0.0, 1.0), (1.0, 1.0)), ((0.0, 0.5), (0.5, 0.75), (1.0, 1.75)))
 WEIGHTS = (1, 2, 3)
 MOST_REPEATS = 3
+#: What tells planned documents apart.
+UNIT = ("doc_id", "text_hash", "source", "size")
 
 
 def when_due(share: Column, schedule: Sequence[tuple[float, float]]) -> Column:
@@ -125,11 +129,27 @@ def plan(
 
 
 def in_order(planned: DataFrame) -> DataFrame:
-    """A row for each copy of each document that is taken, dealt out by ranges of its position and sorted there."""
-    copies = planned.select("doc_id", "text_hash", "source", "size", F.explode("positions").alias("position"))
+    """A row for each copy of each planned document that is taken, dealt out by ranges of its position and sorted there.
+
+    Rows that agree stand together: ``n_rows`` says how often a copy is meant.
+    """
+    copies = planned.select(*UNIT, "n_rows", F.explode("positions").alias("position"))
     return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")
 
 
+def placed(planned: DataFrame) -> DataFrame:
+    """``planned`` with ``copies``, ``taken`` and ``first_position`` (null if none is taken) read from the sorted copies.
+
+    The copies are written in training order before they are counted, so every position is worked out and sorted.
+    """
+    planned = cut(planned.drop("copies", "taken"))
+    copies = cut(in_order(planned))
+    found = copies.groupBy(*[F.col(c).alias(f"_{c}") for c in UNIT]).agg(F.count("position").alias("copies"), F.min("position").alias("first_position"))
+    rows = planned.join(found, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in UNIT]), "left").drop(*[f"_{c}" for c in UNIT])
+    rows = rows.withColumn("copies", F.coalesce("copies", F.lit(0)).cast("int"))
+    return rows.withColumn("taken", F.col("copies") * F.col("size"))
+
+
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
     """The documents in training order: every row as often as the mix takes it, range-sorted by ``position`` (added)."""
     planned = plan(docs, id_column=id_column, text_column=text_column, source_column=source_column, **options)

@@ -103,7 +103,7 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
-    planned = mixing.plan(table(spark, folder, "documents"))
+    planned = mixing.placed(mixing.plan(table(spark, folder, "documents")))
     rows = planned.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
 

@@ -153,6 +153,24 @@ def test_mixing(spark, docs, odd):
     assert max(abs(area(t) - k / 100) for k, t in enumerate(due)) < 1e-9
 
 
+def test_mixing_query_reads_the_sorted_copies(spark, docs, odd, monkeypatch):
+    for table in (docs, odd):
+        planned = {tuple(r[c] for c in mixing.UNIT): r for r in mixing.plan(table).collect()}
+        copies = mixing.in_order(mixing.plan(table)).collect()
+        assert [r["position"] for r in copies] == sorted(r["position"] for r in copies)
+        assert Counter((*(r[c] for c in mixing.UNIT), r["position"]) for r in copies) == Counter((*u, p) for u, r in planned.items() for p in r["positions"])
+        for r in mixing.placed(mixing.plan(table)).collect():
+            plain = planned[tuple(r[c] for c in mixing.UNIT)]
+            assert (r["copies"], r["taken"], r["first_position"]) == (plain["copies"], plain["taken"], min(plain["positions"], default=None))
+    assert mixing.placed(mixing.plan(docs.limit(0))).count() == 0
+    seen = []
+    whole = mixing.in_order
+    monkeypatch.setattr(mixing, "in_order", lambda planned: seen.append(whole(planned)) or seen[-1].where("doc_id % 2 = 0"))
+    got = QUERIES["op5_mixing"](spark, FOLDER).collect()
+    assert len(seen) == 1 and "position" in seen[0].columns
+    assert all(not r["taken"] for r in got if r["doc_id"] % 2) and any(r["taken"] for r in got)
+
+
 def test_quality_figures_and_labels(spark, docs, odd):
     labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
     for table in (docs, odd):
