@@ -39,7 +39,10 @@ SCOPES = frozenset("article aside blockquote body div footer form header html ma
 
 
 class Blocks(HTMLParser):
-    """Blocks of a page as the parser's events come: text, tags in it, links in it, and the containers around it."""
+    """Blocks of a page as the parser's events come: text, tags in it, links in it, and the containers around it.
+
+    An element of NEVER that starts no block (a script or button inside a paragraph) leaves the block around it as it is.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -49,19 +52,23 @@ class Blocks(HTMLParser):
         self.blocks: list[tuple[str, int, int, int, bool]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.in_link = 0
+        self.hidden = 0  # place in ``open`` of the outermost element of NEVER inside a block, 0 if none
 
     def end_block(self) -> None:
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
-            self.blocks.append((text, self.tags, self.linked, self.open[-1][1], self.open[-1][2]))
+            at = (self.hidden or len(self.open)) - 1  # a hidden element left open is not where the block stands
+            self.blocks.append((text, self.tags, self.linked, *self.open[at][1:]))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if tag in BLOCKS:
+        inline = tag in NEVER and tag not in BLOCKS
+        if tag in BLOCKS and not self.hidden:
             self.end_block()
             for closed in CLOSES.get(tag, ()):
                 self.close_element(closed, implied=True)
-        self.tags += 1
+        if not self.hidden and not inline:
+            self.tags += 1
         if tag in VOID:
             return
         if tag == "a":
@@ -70,6 +77,8 @@ class Blocks(HTMLParser):
         if not beside and attrs and tag not in ("html", "body", "article", "main", "p", "a", "span", "b", "i", "em", "strong"):
             beside = any(k in ("class", "id", "role") and v and BESIDE.search(v) for k, v in attrs)
         if tag in BLOCKS or tag in NEVER:
+            if inline and not self.hidden:
+                self.hidden = len(self.open)
             self.parents.append(self.open[-1][1])
             self.names.append(tag)
             self.open.append((tag, len(self.names) - 1, beside))
@@ -77,20 +86,26 @@ class Blocks(HTMLParser):
     def close_element(self, tag: str, implied: bool = False) -> None:
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i][0] == tag:
-                self.end_block()
+                if not self.hidden or i < self.hidden:
+                    self.end_block()
+                if i <= self.hidden:
+                    self.hidden = 0
                 del self.open[i:]
                 return
             if implied and self.open[i][0] in SCOPES:
                 return
 
     def handle_endtag(self, tag: str) -> None:
-        self.tags += 1
+        if not self.hidden and (tag in BLOCKS or tag not in NEVER):
+            self.tags += 1
         if tag == "a":
             self.in_link = max(0, self.in_link - 1)
         elif tag in BLOCKS or tag in NEVER:
             self.close_element(tag)
 
     def handle_data(self, data: str) -> None:
+        if self.hidden:
+            return
         self.text.append(data)
         if self.in_link:
             self.linked += len(data)

@@ -232,6 +232,25 @@ def test_pages(spark):
     assert Counter((r["page_id"], r["text"], r["n_chars"]) for r in extract.extract(rows).collect()) == Counter([(None, "", 0), (1, "", 0), (2, "", 0), (3, "plain", 5)])
 
 
+LONG = "Long text of the story here. " * 12
+
+
+@pytest.mark.parametrize(
+    "inner",
+    ["<script>var a='x';</script>", "<style>p {}</style>", "<button class=b>Share</button>", "<svg><title>Icon</title><path d=x /><text>t</text></svg>", "<iframe src=x><p>old</p></iframe>",
+     "<textarea>type</textarea>", "<template><div><p>later</p></div></template>", "<object><div>none</div></object>", "<button><svg><path></svg><div>deep</div></button>"],
+)
+def test_pages_keep_the_block_around_a_hidden_element(inner):
+    page = "<body><div><p>{} Intro {} rest of it</p><p>{}</p></div></body>"
+    assert extract.main_text(page.format(LONG, inner, LONG)) == f"{LONG.strip()} Intro rest of it\n{LONG.strip()}"
+    assert extract.main_text(f"<p>Intro {inner} rest</p>") == "Intro rest"
+
+
+def test_pages_with_hidden_elements_left_open():
+    assert extract.main_text(f"<div><p>Intro <button>Share</p><p>{LONG}</p></div>") == f"Intro\n{LONG.strip()}"
+    assert extract.main_text("<p>Intro <button>Share") == "Intro"
+
+
 def test_nearest_recall_and_odd_vectors(spark, monkeypatch):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = vectors.select("vec_id", "embedding").collect()
