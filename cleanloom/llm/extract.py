@@ -25,6 +25,8 @@ NEVER = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that name the article themselves.
 ARTICLE = frozenset(["article", "main"])
+#: Elements of one block, too small to be a region.
+LINES = frozenset("p li td h1 h2 h3".split())
 #: Words in a class, id or role that mark an element as something beside the article.
 BESIDE = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|disqus|footer|header|masthead|menu|nav\w*|newsletter|notices?|popup|"
@@ -32,6 +34,7 @@ BESIDE = re.compile(
     re.I,
 )
 SPACE = re.compile(r"\s+")
+DIGITS = re.compile(r"\d+")
 #: Ends that are implied: an opening tag of the key closes open elements of the value.
 CLOSES = {t: ("p",) for t in BLOCKS - {"br", "body", "html", "option", "caption"}} | {"li": ("p", "li"), "option": ("option",), "tr": ("td", "th", "tr"), "td": ("td", "th"), "dd": ("dd", "dt"), "dt": ("dd", "dt")}
 #: An implied end stops at these.
@@ -46,10 +49,11 @@ class Blocks(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = [("", 0, False)]  # element, its number, beside the article or not
+        self.open: list[tuple[str, int]] = [("", 0)]  # element, its number
         self.parents: list[int] = [0]
         self.names: list[str] = [""]
-        self.blocks: list[tuple[str, int, int, int, bool]] = []
+        self.marks: list[frozenset[str]] = [frozenset()]  # words of its class, id and role that say it is beside the article
+        self.blocks: list[tuple[str, int, int, int]] = []
         self.text: list[str] = []
         self.tags = self.linked = self.in_link = 0
         self.hidden = 0  # place in ``open`` of the outermost element of NEVER inside a block, 0 if none
@@ -58,7 +62,7 @@ class Blocks(HTMLParser):
         text = SPACE.sub(" ", "".join(self.text)).strip()
         if text or self.tags:
             at = (self.hidden or len(self.open)) - 1  # a hidden element left open is not where the block stands
-            self.blocks.append((text, self.tags, self.linked, *self.open[at][1:]))
+            self.blocks.append((text, self.tags, self.linked, self.open[at][1]))
         self.text, self.tags, self.linked = [], 0, 0
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -73,15 +77,14 @@ class Blocks(HTMLParser):
             return
         if tag == "a":
             self.in_link += 1
-        beside = self.open[-1][2] or tag in NEVER
-        if not beside and attrs and tag not in ("html", "body", "article", "main", "p", "a", "span", "b", "i", "em", "strong"):
-            beside = any(k in ("class", "id", "role") and v and BESIDE.search(v) for k, v in attrs)
         if tag in BLOCKS or tag in NEVER:
             if inline and not self.hidden:
                 self.hidden = len(self.open)
             self.parents.append(self.open[-1][1])
             self.names.append(tag)
-            self.open.append((tag, len(self.names) - 1, beside))
+            words = [w for k, v in attrs if k in ("class", "id", "role") and v for w in v.split()] if tag not in ("html", "body", "p") else []
+            self.marks.append(frozenset(DIGITS.sub("", w.lower()) for w in words if BESIDE.search(w)))
+            self.open.append((tag, len(self.names) - 1))
 
     def close_element(self, tag: str, implied: bool = False) -> None:
         for i in range(len(self.open) - 1, 0, -1):
@@ -111,6 +114,36 @@ class Blocks(HTMLParser):
             self.linked += len(data)
 
 
+def beside(parser: Blocks) -> list[bool]:
+    """Whether each element stands beside the article, by its kind, its marks or an element around it.
+
+    Elements that share a mark are weighed together, numbers in it aside: it hides them only while they hold less than
+    half of the text outside links, and an element only if all its marks do and it holds no article or main element
+    (but one that is marked itself, as comments may be).
+    """
+    parents, names, marks = parser.parents, parser.names, parser.marks
+    n = len(names)
+    holds, never, around = [False] * n, [False] * n, [frozenset()] * n
+    for e in range(1, n):  # elements are numbered as they open, parents first
+        never[e] = never[parents[e]] or names[e] in NEVER
+        around[e] = around[parents[e]] | marks[e]
+    for e in range(n - 1, 0, -1):
+        holds[e] = holds[e] or (names[e] in ARTICLE and not marks[e] and not never[e])
+        holds[parents[e]] = holds[parents[e]] or holds[e]
+    total, weight = 0, {}
+    for text, _, linked, at in parser.blocks:
+        if not never[at]:
+            size = max(0, len(text) - linked)
+            total += size
+            for mark in around[at]:
+                weight[mark] = weight.get(mark, 0) + size
+    minor = {mark for mark, size in weight.items() if not size or 2 * size < total}
+    out = [False] * n
+    for e in range(1, n):
+        out[e] = out[parents[e]] or names[e] in NEVER or bool(not holds[e] and names[e] not in ARTICLE and marks[e] and marks[e] <= minor)
+    return out
+
+
 def smoothed(x: np.ndarray, sigma: float) -> np.ndarray:
     """Gaussian smoothing; at the ends the kernel is what remains of it."""
     reach = max(1, int(3 * sigma))
@@ -137,9 +170,9 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     """The article of a page: its blocks, joined by line feeds; empty if there is none.
 
     Each block's text-to-tag ratio (characters outside links, over tags) is smoothed over its neighbours and the two
-    clusters of ratios are told apart. Content blocks vote, by their length, for the elements around them: the article
-    is the innermost element that names itself one, or else the innermost that holds nine tenths of the content.
-    All its blocks are returned, short ones too, but for elements that are marked as something else.
+    clusters of ratios are told apart. The article is the smallest element that holds all content blocks and the page's
+    headline (the first h1), or the outermost element around that which names itself an article. All its blocks are
+    returned, short ones too, but for elements that stand beside the article.
     """
     cut = html.rfind("<")
     if cut >= 0 and ">" not in html[cut:] and html[cut + 1 : cut + 2].isalpha() | (html[cut + 1 : cut + 2] in ("/", "!", "?")):
@@ -148,22 +181,27 @@ def main_text(html: str, sigma: float = 1.0) -> str:
     parser.feed(html)
     parser.close()
     parser.end_block()
-    blocks = [b for b in parser.blocks if b[0] and not b[4]]
+    aside = beside(parser)
+    blocks = [b for b in parser.blocks if b[0] and not aside[b[3]]]
     if not blocks:
         return ""
-    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _, _ in blocks], float)
+    ratio = np.array([max(0, len(t) - linked) / max(1, tags) for t, tags, linked, _ in blocks], float)
     ratio = smoothed(ratio, sigma)
     content = ratio > threshold(ratio)
-    held: dict[int, int] = {}
-    for (text, _, linked, at, _), is_content in zip(blocks, content, strict=True):
-        while True:
-            held[at] = held.get(at, 0) + (len(text) - linked) * bool(is_content)
-            if not at:
-                break
-            at = parser.parents[at]
-    named = [e for e in held if parser.names[e] in ARTICLE and held[e] >= 0.5 * held[0]]
-    enough = named or [e for e in held if held[e] >= 0.9 * held[0] and parser.names[e] not in ("p", "li", "td", "h1", "h2", "h3")]
-    region = max(enough, default=0)  # elements are numbered as they open, so the innermost of a nest is the last
+    first = next((i for i, b in enumerate(blocks) if parser.names[b[3]] == "h1"), -1)
+    common: list[int] | None = None  # the elements around all content blocks, outermost first
+    for i, (_, _, _, at) in enumerate(blocks):
+        if content[i] or i == first:
+            path = [at]
+            while path[-1]:
+                path.append(parser.parents[path[-1]])
+            path.reverse()
+            common = path if common is None else [a for a, b in zip(common, path, strict=False) if a == b]
+    common = common or [0]
+    region = next((e for e in common if parser.names[e] in ARTICLE), 0)
+    while not region and len(common) > 1 and parser.names[common[-1]] in LINES:
+        common.pop()
+    region = region or common[-1]
 
     def inside(at: int) -> bool:
         while at and at != region:

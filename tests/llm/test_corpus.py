@@ -251,6 +251,28 @@ def test_pages_with_hidden_elements_left_open():
     assert extract.main_text("<p>Intro <button>Share") == "Intro"
 
 
+def test_pages_keep_all_content_blocks():
+    p = lambda n: "<p>" + f"Part {n} of the story. " * 12 + "</p>"
+    t = lambda n: (f"Part {n} of the story. " * 12).strip()
+    article = f"<article>{p(1)}{p(2)}</article>"
+    two = f"{t(1)}\n{t(2)}"
+    assert extract.main_text(f"<body><main><h1>Title</h1>{article}</main></body>") == f"Title\n{two}"
+    assert extract.main_text(f"<body><h1>Title</h1><div class=post>{p(1)}{p(2)}</div></body>") == f"Title\n{two}"
+    for tag in ("article", "div"):
+        pair = f"<{tag}>{p(1)}{p(2)}{p(3)}</{tag}><{tag}>{p(4)}{p(5)}</{tag}>"
+        for form in ("<body>{}</body>", "<main>{}</main>", "<div>{}</div>"):
+            assert extract.main_text(form.format(pair)) == "\n".join(t(n) for n in range(1, 6))
+    # a mark on what holds the article hides nothing; one on a small part does
+    side = "<div class='sidebar widget-9'>Other news</div>"
+    for mark in ("layout has-sidebar", "elementor-widget", "search-page"):
+        assert extract.main_text(f"<body><div class='{mark}'>{article}{side}</div></body>") == two
+        assert extract.main_text(f"<body><div class='{mark}'>{p(1)}{p(2)}</div>{side}</body>") == two
+    parts = "".join(f"<div class='elementor-widget' id=widget-{n}>{p(n)}</div>" for n in (1, 2))
+    assert extract.main_text(f"<body><div>{parts}</div>{side}</body>") == two
+    replies = "<div id=comments class=comments-area><article class=comment-body><p>I liked it.</p></article></div>"
+    assert extract.main_text(f"<body><main>{article}</main>{replies}</body>") == two
+
+
 def test_nearest_recall_and_odd_vectors(spark, monkeypatch):
     vectors = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet")
     rows = vectors.select("vec_id", "embedding").collect()
