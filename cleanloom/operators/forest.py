@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -98,16 +98,15 @@ def _bounds_below(bounds: Column, x: Column) -> Column:
     return F.size(F.filter(bounds, lambda b: b < x))
 
 
-def repair_with_forest(
+def flag_with_forest(
     df: DataFrame,
     keys: Sequence[str] | Grouping,
     columns: Sequence[str],
-    repair: str,
     row_id: Sequence[str],
     is_train: Column,
     seed: int = 42,
 ) -> DataFrame:
-    """O2. Values that a forest of the training rows isolates early get a training statistic, in all splits.
+    """Add ``_out<i>`` per column: whether a forest of the training rows isolates the value early.
 
     The forest of a column is a step function of the value, so it ends as a few bounds per group; scoring is a
     column expression. Every training row with a value can be in the sample of every tree. Only rows that some tree
@@ -142,11 +141,32 @@ def repair_with_forest(
     )
     # forests are costly to grow, so they are written once
     out = g.attach(df, cut(wide))
-    out = g.with_stats(out, {f"_fix{i}": fill_stat(repair, c).only(is_train) for i, c in enumerate(columns)})
-    repaired = {}
+    flags = {}
     for i, c in enumerate(columns):
         passed = _bounds_below(F.col(f"_f{i}._bounds"), F.col(c)) % 2 == 1
-        outlier = F.coalesce(passed != F.col(f"_f{i}._first"), F.lit(False)) & F.col(c).isNotNull()
-        repaired[c] = F.when(outlier, stat_value(repair, f"_fix{i}")).otherwise(F.col(c))
-    return out.withColumns(repaired).drop(*[f"_{n}{i}" for n in ("f", "fix") for i in range(len(columns))])
+        flags[f"_out{i}"] = F.coalesce(passed != F.col(f"_f{i}._first"), F.lit(False)) & F.col(c).isNotNull()
+    return out.withColumns(flags).drop(*[f"_f{i}" for i in range(len(columns))])
+
+
+def repair_with_forest(
+    df: DataFrame,
+    keys: Sequence[str] | Grouping,
+    columns: Sequence[str],
+    repair: str,
+    row_id: Sequence[str],
+    is_train: Column,
+    seed: int = 42,
+) -> DataFrame:
+    """O2. Values that a forest of the training rows isolates early get a training statistic, in all splits."""
+    g = grouping(df, keys)
+    out = repair_flagged(flag_with_forest(df, g, columns, row_id, is_train, seed), g, {c: c for c in columns}, repair, is_train)
+    return out.drop(*[f"_out{i}" for i in range(len(columns))])
+
 
+def repair_flagged(df: DataFrame, g: Grouping, columns: Mapping[str, str], repair: str, is_train: Column) -> DataFrame:
+    """Add ``{new column: source}`` with the i-th source's flagged values (``_out<i>``) replaced by a training statistic."""
+    out = g.with_stats(df, {f"_fix{i}": fill_stat(repair, c).only(is_train) for i, c in enumerate(columns.values())})
+    repaired = {
+        new: F.when(F.col(f"_out{i}"), stat_value(repair, f"_fix{i}")).otherwise(F.col(c)) for i, (new, c) in enumerate(columns.items())
+    }
+    return out.withColumns(repaired).drop(*[f"_fix{i}" for i in range(len(columns))])

@@ -363,7 +363,7 @@ def sweep(spark, folder) -> DataFrame:
 
 @query("sweep_outliers")
 def sweep_outliers(spark, folder) -> DataFrame:
-    """Two imputers, two detectors and two repairs on every partition."""
+    """Five imputers, three detectors and two repairs on every partition."""
     parts = _series_partitions(spark, folder)
     return sweeps.sweep_outliers(parts, ["l_suppkey", "partition_id"], FEATURES, TARGET, ["series_row"], LINE_ID)
 

@@ -4,8 +4,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from cleanloom.functions.columns import random_order
 from cleanloom.operators import sweep as sweeps
-from cleanloom.operators.impute_chain import impute_chain, impute_em
+from cleanloom.operators.forest import outlier_bounds
+from cleanloom.operators.impute_chain import chain_matrix, impute_chain, impute_em
 from cleanloom.operators.linear import ALPHAS, INTERCEPTS, TEST_PART, fit_linear
 from cleanloom.plans import gram as G
 
@@ -125,3 +127,46 @@ def test_sweep_methods_and_split(spark):
         assert abs(a["rmse"] - b["rmse"]) < 1e-9
     # y is nearly a multiple of a, so every method predicts well
     assert max(r["rmse"] for r in out) < 0.5
+
+
+def test_sweep_outliers_against_direct_computation(spark):
+    rng = np.random.default_rng(6)
+    n, names = 60, ["a", "b", "y"]
+    x = rng.normal(size=(n, 2)) * [1, 3]
+    x[::9] *= 6
+    rows = [(0, i, *map(float, x[i]), float(2 * x[i, 0] - x[i, 1] + 0.3 * rng.normal())) for i in range(n)]
+    df = spark.createDataFrame(rows, "part int, i long, a double, b double, y double")
+    args = (["part"], ["a", "b"], "y", ["i"], ["i"])
+    out = {r["method"]: r for r in sweeps.sweep_outliers(df, *args, drop_share=0.1).collect()}
+    assert set(out) == {f"{m}_{d}_{r}" for m in ("mean", "median", "mode", "knn", "mice") for d in ("iqr", "zscore", "iforest") for r in ("mean", "median")}
+    ready = sweeps.prepared(df, *args, drop_share=0.1)[0].orderBy("i").select(*names, "is_train", random_order(["i"], 42, "forest").alias("h")).collect()
+    gappy = np.array([[np.nan if r[c] is None else r[c] for c in names] for r in ready])
+    train, hashes = np.array([r["is_train"] for r in ready]), np.array([r["h"] for r in ready])
+    assert np.isnan(gappy).sum() >= 6
+    near = gappy.copy()
+    for i, c in zip(*np.where(np.isnan(gappy)), strict=True):
+        both = ~np.isnan(gappy) & ~np.isnan(gappy[i])
+        gap = np.where(both, gappy - gappy[i], 0.0) ** 2
+        far = gap.sum(1) * 3 / np.maximum(both.sum(1), 1)
+        donors = np.flatnonzero(train & ~np.isnan(gappy[:, c]) & both.any(1))
+        near[i, c] = gappy[donors[np.argsort(far[donors], kind="stable")[:5]], c].mean()
+    mean, spread = np.nanmean(gappy[train], 0), np.nanstd(gappy[train], 0)
+    chained = np.where(np.isnan(gappy), chain_matrix((gappy - mean) / spread, train) * spread + mean, gappy)
+    for imputer, filled in (("knn", near), ("mice", chained)):
+        for detector in ("zscore", "iforest"):
+            for repair, fix in (("mean", np.mean), ("median", np.median)):
+                z = filled.copy()
+                for c in (0, 1):
+                    v = filled[:, c]
+                    if detector == "zscore":
+                        m, s = (np.where(train, f(v[train]), f(v[~train])) for f in (np.mean, np.std))
+                        bad = np.abs(v - m) > 0.5 * s
+                    else:
+                        first, bounds = outlier_bounds(v[train], hashes[train], 42)
+                        bad = first ^ ((np.array(bounds)[None, :] < v[:, None]).sum(1) % 2 == 1)
+                    z[bad, c] = fix(v[train])
+                z = (z - z[train].mean(0)) / np.where(z[train].std(0) > 0, z[train].std(0), 1.0)
+                got = out[f"{imputer}_{detector}_{repair}"]
+                w, b = direct_ridge(z[train, :2], z[train, 2], got["alpha"], got["fit_intercept"])
+                want = np.sqrt(((z[~train, 2] - z[~train, :2] @ w - b) ** 2).mean())
+                assert abs(got["rmse"] - want) < 1e-8, (imputer, detector, repair)
