@@ -164,6 +164,22 @@ def rank_average_by_distance(spark, folder) -> DataFrame:
     return out.withColumn("rank_difference", rounded("rank_difference"))
 
 
+@query(
+    "rank_average_by_distance_all",
+    f"""WITH m AS ({MIDS_SQL}), d AS ({DISTANCE_SQL}),
+      r AS (SELECT *, rank() OVER (PARTITION BY l_suppkey, partition_id, model ORDER BY rmse)
+        + (count(*) OVER (PARTITION BY l_suppkey, partition_id, model, rmse) - 1) / 2.0::DOUBLE AS rank FROM ({SCORES_SQL})),
+      p AS ({_pair_sql("abs(a.rank - b.rank) AS rank_difference", "r")})
+    SELECT p.l_suppkey, p.method, d.distance, {sql_rounded("avg(p.rank_difference)")} AS rank_difference, count(*) AS n_pairs
+    FROM p JOIN d ON p.l_suppkey = d.l_suppkey AND p.i = d.i AND p.j = d.j GROUP BY p.l_suppkey, p.method, d.distance""",
+)
+def rank_average_by_distance_all(spark, folder) -> DataFrame:
+    """Mean difference of average ranks between all pairs of partitions of a series."""
+    pairs = transfer.rank_difference(_placed_scores(spark, folder), SUPPLIER, ties="average", carry=["mid"])
+    out = transfer.mean_by_distance(pairs, [*SUPPLIER, "method"], "rank_difference")
+    return out.withColumn("rank_difference", rounded("rank_difference"))
+
+
 @query(
     "abs_diff_ratio",
     f"""WITH s AS ({SCORES_SQL}), t AS (SELECT s.*, n.rmse AS base FROM s JOIN s n ON s.l_suppkey = n.l_suppkey

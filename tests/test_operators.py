@@ -294,3 +294,26 @@ def test_search_takes_model_fills_and_rank_targets(spark):
     assert losses.where("best_val_loss is not null").count() == 27
     with pytest.raises(ValueError):
         search.search_fixed(df, ["k"], ["x"], "y", ["id"], target_as="log")
+
+
+def test_average_rank_distance_over_all_pairs(spark, monkeypatch):
+    from cleanloom.queries import transfer as queries
+
+    values = {(p, m): float((p * k * k + k) % 3) for p in range(7) for k, m in enumerate("ABC", 2)}
+    scores = [(1, p, "lm", m, v, p * 10 * 86_400_000_000) for (p, m), v in values.items()]
+    table = spark.createDataFrame(scores, "l_suppkey int, partition_id int, model string, method string, rmse double, mid long")
+    monkeypatch.setattr(queries, "_placed_scores", lambda *_: table)
+    rank = {}
+    for p, m in values:
+        others = [values[p, o] for o in "ABC"]
+        rank[p, m] = sum(v < values[p, m] for v in others) + (others.count(values[p, m]) + 1) / 2
+    for name, most in (("rank_average_by_distance_all", 6), ("rank_average_by_distance", 3)):
+        want = {}
+        for m in "ABC":
+            for step in range(1, most + 1):
+                pairs = [abs(rank[p, m] - rank[p + step, m]) for p in range(7 - step)]
+                want[m, step * 10] = (sum(pairs) / len(pairs), len(pairs))
+        rows_ = getattr(queries, name)(spark, "").collect()
+        got = {(r["method"], int(r["distance"])): (r["rank_difference"], r["n_pairs"]) for r in rows_}
+        assert got.keys() == want.keys()
+        assert all(abs(got[k][0] - want[k][0]) < 1e-5 and got[k][1] == want[k][1] for k in want)
