@@ -31,9 +31,14 @@ FEATURES, LABEL, PREDICTION = "_features", "_label", "prediction"
 C_VALUES = ALPHAS
 TREE_DEPTHS = (10, 30)
 MIN_SPLITS = (2, 10, 100)
-FOREST_SIZES = (10, 100)
+FOREST_SIZES = (10, 100, 1000)
 # MLlib trees stop at this depth
 DEEPEST = 30
+# rounds of the boosted stumps, and the most steps of the SVM, which stops by its tolerance
+BOOST_ROUNDS = 50
+SVM_STEPS = 1000
+# boosted stumps between two cuts of the scored rows
+STUMPS_AT_ONCE = 10
 
 
 def estimator(name: str, seed: int = 0) -> Estimator:
@@ -41,11 +46,11 @@ def estimator(name: str, seed: int = 0) -> Estimator:
     io = {"featuresCol": FEATURES, "labelCol": LABEL, "predictionCol": PREDICTION}
     makers = {
         "logistic_regression": lambda: LogisticRegression(**io),
-        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=10, seed=seed, **io),
-        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=10, seed=seed, **io),
+        "decision_tree": lambda: DecisionTreeClassifier(maxDepth=DEEPEST, seed=seed, **io),
+        "random_forest": lambda: RandomForestClassifier(numTrees=100, maxDepth=DEEPEST, seed=seed, **io),
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **io),
-        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=20, featuresCol=FEATURES, labelCol=LABEL), **io),
-        "rf_regressor": lambda: RandomForestRegressor(numTrees=100, maxDepth=10, seed=seed, **io),
+        "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=SVM_STEPS, featuresCol=FEATURES, labelCol=LABEL), **io),
+        "rf_regressor": lambda: RandomForestRegressor(numTrees=100, maxDepth=DEEPEST, seed=seed, **io),
         "gbt_regressor": lambda: GBTRegressor(maxIter=20, maxDepth=5, subsamplingRate=0.9, seed=seed, **io),
     }
     if name not in makers:
@@ -116,7 +121,7 @@ def predict(
     return out.select(*test.columns, PREDICTION)
 
 
-def _ada_boost(train: DataFrame, test: DataFrame, rounds: int = 10, seed: int = 0) -> DataFrame:
+def _ada_boost(train: DataFrame, test: DataFrame, rounds: int = BOOST_ROUNDS, seed: int = 0) -> DataFrame:
     """M11. Boosted one-split trees; the weight of wrongly predicted rows grows from round to round."""
     classes = train.select(LABEL).distinct().count()
     rows = train.withColumn("_weight", F.lit(1.0))
@@ -124,7 +129,7 @@ def _ada_boost(train: DataFrame, test: DataFrame, rounds: int = 10, seed: int =
         maxDepth=1, featuresCol=FEATURES, labelCol=LABEL, predictionCol="_vote", weightCol="_weight", seed=seed
     )
     scored = test.withColumn("_votes", F.array().cast("array<struct<label:double,weight:double>>"))
-    for _ in range(rounds):
+    for step in range(rounds):
         model = stump.fit(rows)
         voted = model.transform(rows).drop("rawPrediction", "probability")
         wrong = F.col("_vote") != F.col(LABEL)
@@ -137,6 +142,8 @@ def _ada_boost(train: DataFrame, test: DataFrame, rounds: int = 10, seed: int =
         scored = model.transform(scored).withColumn("_votes", F.concat("_votes", vote)).drop(
             "_vote", "rawPrediction", "probability"
         )
+        if (step + 1) % STUMPS_AT_ONCE == 0:
+            scored = cut(scored)
         if share <= 1e-10:
             break
         grown = voted.withColumn("_weight", F.when(wrong, F.col("_weight") * exp(weight)).otherwise(F.col("_weight")))

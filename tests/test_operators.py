@@ -317,3 +317,15 @@ def test_average_rank_distance_over_all_pairs(spark, monkeypatch):
         got = {(r["method"], int(r["distance"])): (r["rank_difference"], r["n_pairs"]) for r in rows_}
         assert got.keys() == want.keys()
         assert all(abs(got[k][0] - want[k][0]) < 1e-5 and got[k][1] == want[k][1] for k in want)
+
+
+def test_models_have_the_reference_sizes():
+    import inspect
+
+    from cleanloom.operators import learners
+
+    assert {estimator(n).getMaxDepth() for n in ("decision_tree", "random_forest", "rf_regressor")} == {learners.DEEPEST}
+    assert estimator("svm").getClassifier().getMaxIter() >= 1000
+    assert inspect.signature(learners._ada_boost).parameters["rounds"].default == 50
+    forest = estimator("random_forest")
+    assert {g[forest.numTrees] for g in learners.grid("random_forest", forest, 10)} == {10, 100, 1000}
