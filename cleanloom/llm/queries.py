@@ -7,12 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, bpe, extract, line_dedup, mixing, ngram_join, quality, secret_scan, token_files, toxicity
+from cleanloom.llm import ann, bpe, extract, line_dedup, mixing, ngram_join, quality, secret_scan, spelling, token_files, toxicity
 from cleanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
+#: SQL macros in place: crc32 of a text, whose table and bytes are lists.
+CRC_TABLE = """
+    bits AS (
+        SELECT i, i::UBIGINT AS c, 0 AS k FROM range(256) t(i)
+        UNION ALL SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8
+    ), crc_table AS (SELECT list(c ORDER BY i) AS crc_list FROM bits WHERE k = 8)"""
+
+
+def crc_sql(text: str, table: str = "crc_list") -> str:
+    """crc32 of the UTF-8 bytes of the SQL expression ``text``."""
+    byte = f"list_transform(range(length(hex(encode({text}))) // 2), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::UBIGINT)"
+    return f"xor(list_reduce({byte}, lambda c, b: xor(c // 256, {table}[(xor(c, b) & 255)::INT + 1]), 4294967295::UBIGINT), 4294967295::UBIGINT)"
+
 
 def query(name: str, sql: str | None = None):
     def add(function: Callable[[SparkSession, str], DataFrame]):
@@ -126,3 +139,38 @@ def op1_nearest(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_ngram_join")
 def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
     return ngram_join.near_documents(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_spelling",
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    runs AS (
+        SELECT coalesce(doc_id::VARCHAR, '') AS doc, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{{00C0}}-\x{{00FF}}]+')) AS run
+        FROM documents
+    ), counted AS (SELECT doc, run, count(*) AS n FROM runs WHERE length(run) >= 6 GROUP BY ALL
+    ), hashed AS (SELECT run, n, length(run) AS size, {crc_sql("doc || ':' || run")} AS h FROM counted, crc_table
+    ), damaged AS (
+        SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, (h % size)::BIGINT) || substr(run, (h % size)::BIGINT + 2) ELSE run END AS word, n FROM hashed
+    ), words AS (SELECT word, sum(n)::BIGINT AS n FROM damaged WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5
+    ), holes AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS hole FROM words, range(1, length(word) + 1) t(i)
+    ), pairs AS (
+        SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.i = b.i AND a.hole = b.hole AND a.word <> b.word
+        UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.hole = b.word
+        UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.hole = b.word
+    ), best AS (
+        SELECT word, count(*) AS n_near, max(other_n) AS top FROM pairs GROUP BY word
+    ), forms AS (
+        SELECT w.word, w.n, coalesce(b.n_near, 0)::BIGINT AS n_near, CASE WHEN b.top >= 5 * w.n THEN b.top END AS form_n,
+            CASE WHEN b.top >= 5 * w.n THEN (SELECT min(p.other) FROM pairs p WHERE p.word = w.word AND p.other_n = b.top) END AS form
+        FROM words w LEFT JOIN best b ON w.word = b.word
+    ), chain AS (
+        SELECT word, word AS root, form AS further FROM forms
+        UNION ALL SELECT c.word, f.word, f.form FROM chain c JOIN forms f ON c.further = f.word
+    )
+    SELECT f.word, f.n, f.n_near, f.form, f.form_n, c.root FROM forms f JOIN chain c ON f.word = c.word AND c.further IS NULL
+    """,
+)
+def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    """Spelling variants over whole ``documents``; nulls, empty tables and ties as :func:`spelling.variants` says."""
+    return spelling.variants(table(spark, folder, "documents"))
