@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, bpe, extract, line_dedup, mixing, ngram_join, quality, secret_scan, spelling, token_files, toxicity
+from cleanloom.llm import ann, bpe, conversations, extract, line_dedup, mixing, ngram_join, quality, secret_scan, spelling, token_files, toxicity
 from cleanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,73 @@ def op3_ngram_join(spark: SparkSession, folder: str) -> DataFrame:
 def op13_spelling(spark: SparkSession, folder: str) -> DataFrame:
     """Spelling variants over whole ``documents``; nulls, empty tables and ties as :func:`spelling.variants` says."""
     return spelling.variants(table(spark, folder, "documents"))
+
+
+def edited(row: str, state: int) -> str:
+    """SQL: the cheapest way on from ``state`` that does something with the row (a struct of cost, letters, text)."""
+    line = lambda role, rest: f"{role} || ':' || text || CASE WHEN {rest}.r = '' THEN '' ELSE chr(10) || {rest}.r END"
+    on = {0: 2, 1: 2, 2: 3, 3: 2}[state]
+    name = {2: "'user'", 3: "'assistant'"}[on]
+    keep = {0: [("s", 1), ("u", 2)], 1: [("u", 2)], 2: [("a", 3)], 3: [("u", 2)]}[state]
+    more = "CASE fault WHEN 't' THEN 5 ELSE 0 END"
+    ways = [f"{{c: 2 + v{state}.c, s: 'D' || v{state}.s, r: v{state}.r}}"]
+    ways += [f"CASE WHEN fault IN ('t', 'o') AND left(role, 1) = '{x}' THEN {{c: {more} + v{q}.c, s: 'K' || v{q}.s, r: {line('role', f'v{q}')}}} END" for x, q in keep]
+    ways += [f"CASE WHEN fault IN ('t', 'o') THEN {{c: 1 + {more} + v{on}.c, s: 'R' || v{on}.s, r: {line(name, f'v{on}')}}} END"]
+    return f"list_min([{', '.join(ways)}])"
+
+
+def with_inserts(state: int) -> str:
+    """SQL: the cheapest way on from ``state`` with up to two rows inserted first."""
+    new = lambda role, rest: f"'{role}:' || CASE WHEN {rest} = '' THEN '' ELSE chr(10) || {rest} END"
+    user, answer = new("user", "b2.r"), new("assistant", "b3.r")
+    one = {2: f"{{c: 5 + b3.c, s: 'I' || b3.s, r: {answer}}}"}.get(state, f"{{c: 5 + b2.c, s: 'I' || b2.s, r: {user}}}")
+    two = [f"{{c: 10 + b3.c, s: 'II' || b3.s, r: 'user:' || chr(10) || {answer}}}"] if state < 2 else []
+    return f"list_min([{', '.join([f'b{state}', one, *two])}])"
+
+
+@query(
+    "op11_conversation_repair",
+    rf"""
+    WITH RECURSIVE {CRC_TABLE},
+    hashed AS (
+        SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")} % 20 AS h
+        FROM conversations, crc_table
+    ), damaged AS (
+        SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role,
+            CASE WHEN h = 1 THEN '' WHEN h = 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE WHEN h = 3 THEN 2 ELSE 1 END)) AS copy
+        FROM hashed WHERE h <> 0
+    ), placed AS (
+        SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text)) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+            rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+        FROM damaged
+    ), rows AS (
+        SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'o' END AS fault,
+            lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before
+        FROM placed
+    ), steps AS (
+        SELECT DISTINCT conv_id, n + 1 AS i, {{c: 0::BIGINT, s: '', r: ''}} AS v0, {{c: 10::BIGINT, s: 'II', r: 'user:' || chr(10) || 'assistant:'}} AS v1,
+            {{c: 5::BIGINT, s: 'I', r: 'assistant:'}} AS v2, {{c: 0::BIGINT, s: '', r: ''}} AS v3
+        FROM rows
+        UNION ALL
+        SELECT conv_id, i, {with_inserts(0)}, {with_inserts(1)}, {with_inserts(2)}, {with_inserts(3)}
+        FROM (
+            SELECT rows.conv_id, rows.i, {edited("rows", 0)} AS b0, {edited("rows", 1)} AS b1, {edited("rows", 2)} AS b2, {edited("rows", 3)} AS b3
+            FROM steps JOIN rows ON steps.conv_id IS NOT DISTINCT FROM rows.conv_id AND rows.i = steps.i - 1
+        )
+    ), facts AS (
+        SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'b') AS blank,
+            count(*) FILTER (WHERE fault = 'd') AS duplicate, count(*) FILTER (WHERE fault = 't') AS truncated,
+            count(*) FILTER (WHERE i > 1 AND before || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal
+        FROM rows GROUP BY conv_id
+    )
+    SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+        coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(v0.c, 0)::BIGINT AS cost,
+        coalesce(v0.s, '') AS audit, sha256(coalesce(v0.r, '')) AS repaired_sha256
+    FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN facts f ON o.conv_id IS NOT DISTINCT FROM f.conv_id
+        LEFT JOIN steps s ON o.conv_id IS NOT DISTINCT FROM s.conv_id AND s.i = 1
+    """,
+)
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repairs of all ``conversations`` after damage; nulls, ties and empty tables as :mod:`conversations` says."""
+    rows = table(spark, folder, "conversations")
+    return conversations.report(rows, conversations.damage(rows))
