@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm import ann, bpe, conversations, extract, line_dedup, mixing, ngram_join, quality, secret_scan, spelling, token_files, toxicity
+from cleanloom.llm import ann, bpe, conversations, extract, line_dedup, mixing, ngram_join, packing, quality, secret_scan, spelling, token_files, toxicity
 from cleanloom.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -244,3 +244,9 @@ def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
     """Faults and cheapest repairs of all ``conversations`` after damage; nulls, ties and empty tables as :mod:`conversations` says."""
     rows = table(spark, folder, "conversations")
     return conversations.report(rows, conversations.damage(rows))
+
+
+@query("op12_packing")
+def op12_packing(spark: SparkSession, folder: str) -> DataFrame:
+    """All ``documents`` packed into sequences of 1024 ids; nulls, repeats and empty tables as :func:`packing.pack` says."""
+    return packing.pack(table(spark, folder, "documents"), vocabulary("byte_bpe_50k.json"))
