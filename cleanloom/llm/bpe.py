@@ -12,7 +12,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import map_arrow
+from cleanloom.llm.common import claim, map_arrow
 
 #: Fixed value: how byte-level vocabularies cut a text into words.
 SPLIT = regex.compile(
@@ -231,6 +231,7 @@ _encoders: dict[int, TrieEncoder] = {}
 
 def encoder(vocabulary: str) -> TrieEncoder:
     """One encoder per worker and vocabulary."""
+    claim("bpe", _encoders.clear)
     key = hash(vocabulary)
     if key not in _encoders:
         _encoders.clear()

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,29 @@ def map_arrow(df: DataFrame, step: Callable[[pa.RecordBatch], pa.RecordBatch | N
     return df.mapInArrow(run, schema)
 
 
+_holder: list = ["", None]
+
+
+def claim(operator: str, forget: Callable[[], None]) -> None:
+    """Say that the memory of this worker is ``operator``'s from here on.
+
+    Workers are reused by later stages. What another operator keeps between tasks is given up by its ``forget`` then.
+    """
+    if _holder[0] != operator:
+        if _holder[1] is not None:
+            _holder[1]()
+            gc.collect()
+        _holder[:] = [operator, forget]
+
+
+def unused(name: str, columns: Iterable[str]) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below the checkpoint folder that all executors share."""
     cut(spark.range(1))  # names the checkpoint folder of this session if none is set

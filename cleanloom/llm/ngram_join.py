@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import map_arrow, small_or_shuffled
+from cleanloom.llm.common import claim, map_arrow, small_or_shuffled, unused
 from cleanloom.llm.components import components
 from cleanloom.session import cut, ship_package
 
@@ -24,23 +24,28 @@ COSTLY = 2_000
 #: Tokens of a block; a task of the last step holds two.
 BLOCK_TOKENS = 1_500_000
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
-_hashes: dict[bytes, int] = {}
+#: Words whose hashes a task remembers (about 30 MB); the memory is emptied beyond and goes with the task.
+REMEMBERED = 200_000
 
 
-def shingles(text: str | None) -> np.ndarray:
-    """Sorted 64-bit hashes of the distinct five-word shingles; the whole sequence if it is shorter; empty without words."""
+def shingles(text: str | None, hashes: dict[bytes, int] | None = None) -> np.ndarray:
+    """Sorted 64-bit hashes of the distinct five-word shingles; the whole sequence if it is shorter; empty without words.
+
+    ``hashes`` remembers words between texts.
+    """
+    hashes = {} if hashes is None else hashes
     words = (text or "").encode().lower().split()  # on bytes: A-Z only, and cut at the six blanks
     if not words:
         return np.zeros(0, np.uint64)
-    if len(_hashes) > 1_000_000:
-        _hashes.clear()
+    if len(hashes) > REMEMBERED:
+        hashes.clear()
     try:
-        h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     except KeyError:
         for w in set(words):
-            if w not in _hashes:
-                _hashes[w] = xxhash.xxh64_intdigest(w)
-        h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+            if w not in hashes:
+                hashes[w] = xxhash.xxh64_intdigest(w)
+        h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - WORDS_IN_SHINGLE + 1)
     total = np.full(n, min(len(h), WORDS_IN_SHINGLE), np.uint64)
     for k in range(min(len(h), WORDS_IN_SHINGLE)):
@@ -139,13 +144,15 @@ def sets_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     ship_package(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("n-gram join", dict)
         seen: set[int] = set()
+        hashes: dict[bytes, int] = {}
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 batch = whole.slice(at, 1000)
                 nodes, sizes, heads = [], [], []
                 for text in batch.column(1).to_pylist():
-                    tokens = shingles(text)
+                    tokens = shingles(text, hashes)
                     node, n = node_of(tokens), len(tokens)
                     nodes.append(node)
                     sizes.append(n)
@@ -280,8 +287,11 @@ def near_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = small_or_shuffled(nodes.select(F.col("id").alias("_id"), F.col("node").alias("_node")))
     texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("text")).join(wanted, F.col("id").eqNullSafe(F.col("_id")))
 
+    hashes: dict[bytes, int] = {}  # each task gets this empty
+
     def full(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [(node, s) for node, s in zip(batch.column(0).to_pylist(), map(shingles, batch.column(1).to_pylist()), strict=True) if node_of(s) == node]
+        pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+        found = [(node, s) for node, text in pairs if node_of(s := shingles(text, hashes)) == node]
         ends = np.cumsum([0, *[len(s) for _, s in found]]).astype(np.int32)
         values = np.concatenate([np.zeros(0, np.uint64), *[s for _, s in found]]).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values, pa.int64()))
@@ -298,8 +308,13 @@ def near_documents(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their component: those with its smallest id."""
-    found = near_documents(docs, id_column, text_column)
-    gone = found.where(~F.col("component_id").eqNullSafe(F.col(id_column))).select(F.col(id_column).alias("_gone")).distinct()
+    """The rows of ``docs`` that stand for their component: those with its smallest id.
+
+    Texts that are null or without words stay, and so do all rows that share the smallest id. Null ids count as
+    largest; an empty table stays empty; columns of any name pass through.
+    """
+    found = near_documents(docs.select(id_column, text_column), id_column, text_column)
+    name = unused("gone", docs.columns)
+    gone = found.where(~F.col("component_id").eqNullSafe(F.col(id_column))).select(F.col(id_column).alias(name)).distinct()
     gone = small_or_shuffled(cut(gone))
-    return docs.join(gone, docs[id_column].eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(gone, docs[id_column].eqNullSafe(gone[name]), "left_anti")

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import shared_folder
+from cleanloom.llm.common import claim, shared_folder
 from cleanloom.session import ship_package
 
 #: Fixed values of the coding: how many numbers a 64-bit word holds and their bits, by selector. Selector 0 is the
@@ -231,6 +231,7 @@ def write_tokens(
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        claim("token files", _encoders.clear)
         key = hash(vocabulary.value)
         if key not in _encoders:
             _encoders[key] = ChunkEncoder(vocabulary.value)

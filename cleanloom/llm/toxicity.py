@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import map_arrow
+from cleanloom.llm.common import claim, map_arrow
 
 #: Letters of other scripts that look like Latin ones.
 HOMOGLYPHS = {
@@ -101,6 +101,7 @@ _scorers: dict[int, Scorer] = {}
 
 
 def scorer(lexicon: Lexicon) -> Scorer:
+    claim("toxicity", _scorers.clear)
     key = hash((tuple(sorted(lexicon.terms.items())), lexicon.intercept, lexicon.slope, lexicon.exceptions))
     if key not in _scorers:
         _scorers.clear()
