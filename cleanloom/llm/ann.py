@@ -16,6 +16,8 @@ from cleanloom.session import cut, ship_package
 #: sent to every task; rows of a block, the most that meet in one task.
 LIST_SIZE = 160
 SAMPLE_VALUES = 4_000_000
+#: Cells of a table of distances while the index is fitted (16 MB).
+CELLS = 2_000_000
 MOST_LISTS = 8_192
 BLOCK = 4_096
 
@@ -35,7 +37,18 @@ def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.maximum(0, (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T)
+    """Squared distances; one table of len(a) x len(b) is made and changed in place."""
+    out = a @ b.T
+    out *= -2
+    out += (a * a).sum(1)[:, None]
+    out += (b * b).sum(1)[None]
+    return np.maximum(out, 0, out=out)
+
+
+def parts_of(rows: int, columns: int) -> list[slice]:
+    """Slices of so many rows that a table of them by ``columns`` has at most CELLS cells."""
+    size = max(1, CELLS // max(1, columns))
+    return [slice(at, at + size) for at in range(0, rows, size)]
 
 
 def balanced_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
@@ -45,7 +58,8 @@ def balanced_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     spread = squares(x[:256], centres).min(axis=1).mean() + 1e-12
     size = np.ones(k)
     for _ in range(rounds):
-        nearest = np.concatenate([(squares(p, centres) + 0.1 * spread * (size - 1)).argmin(1) for p in np.array_split(x, max(1, len(x) * k // 20_000_000 + 1))])
+        heavier = 0.1 * spread * (size - 1)
+        nearest = np.concatenate([np.add(gap := squares(x[s], centres), heavier, out=gap).argmin(1) for s in parts_of(len(x), k)])
         count = np.bincount(nearest, minlength=k)
         order = np.argsort(nearest, kind="stable")
         there = np.flatnonzero(count)
@@ -66,7 +80,7 @@ class CentreGraph:
     def __init__(self, centres: np.ndarray, degree: int = 16, entries: int = 8):
         self.centres, k = centres, len(centres)
         rng = np.random.default_rng(1)
-        near = np.concatenate([np.argpartition(squares(p, centres), min(k - 1, degree), axis=1)[:, : degree + 1] for p in np.array_split(centres, k // 512 + 1)])
+        near = np.concatenate([np.argpartition(squares(centres[s], centres), min(k - 1, degree), axis=1)[:, : degree + 1] for s in parts_of(k, k)])
         far = rng.integers(0, k, (k, 4))  # a few links at random keep the graph in one piece
         self.links = np.concatenate([near, far], axis=1)
         self.entries = rng.choice(k, min(k, entries), replace=False)
@@ -137,10 +151,13 @@ def fit(x: np.ndarray, n_rows: int, list_size: int = LIST_SIZE, k: int = 10, bor
     n_lists = int(min(max(1, -(-n_rows // list_size)), MOST_LISTS, max(1, len(x) // 4)))
     graph = CentreGraph(balanced_centres(x, n_lists))
     index = Index(graph, 1.0, 1, border, copies)
-    asked = x[:512]
-    gaps = squares(asked, x)
-    gaps[np.arange(len(asked)), np.arange(len(asked))] = np.inf
-    near = np.argsort(gaps, axis=1)[:, : min(k, len(x) - 1)]
+    asked, found = x[:512], []
+    for s in parts_of(len(asked), len(x)):
+        gaps, rows = squares(asked[s], x), np.arange(len(asked))[s]
+        gaps[np.arange(len(rows)), rows] = np.inf
+        most = min(k, len(x) - 1)
+        found.append(np.argpartition(gaps, max(0, most - 1), axis=1)[:, :most])
+    near = np.concatenate(found)
     to_lists = squares(asked, graph.centres)
     first = np.maximum(to_lists.min(axis=1), 1e-300)
     wanted = np.unique(near)
@@ -156,8 +173,8 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "v
 
     The score is the Euclidean distance, in double precision on the vectors as they are; ties go to the smaller id.
     Rows without id, and vectors that are null, empty, zero, of another length than most, or hold null or non-finite
-    components, take no part. Rows that share an id are one to each other: none is its own neighbour, and the nearest
-    of them counts. The index is fitted on a sample of bounded size, those of smallest id hash; every row is put in
+    components, take no part. Each row of a repeated id is a query and a candidate of its own: only the query's own row
+    is left out, so rows that share an id may be each other's neighbours. The index is fitted on a sample of bounded size, those of smallest id hash; every row is put in
     its lists. Lists longer than a block are cut in blocks, and so are the queries of a list.
     """
     spark = vectors.sparkSession
@@ -173,35 +190,42 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "v
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(1, SAMPLE_VALUES // dimension)).select("v").toArrow()
     index = spark.sparkContext.broadcast(fit(matrix(sample.column(0)), n_rows, list_size, k))
     kind = rows.schema["v"].dataType.simpleString()
+    rows = rows.withColumn("mark", F.xxhash64("v"))  # tells rows of one id apart
 
     def place(which: str):
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = getattr(index.value, which)(matrix(batch.column(1)))
+            found = getattr(index.value, which)(matrix(batch.column(2)))
             take = np.repeat(np.arange(batch.num_rows), [len(f) for f in found])
             lists = np.concatenate(found) if found else np.zeros(0, np.int64)
             at = pa.array(take, pa.int64())
-            return pa.record_batch([pa.array(lists.astype(np.int32), pa.int32()), batch.column(0).take(at), batch.column(1).take(at)], names=["list", "id", "v"])
+            return pa.record_batch([pa.array(lists.astype(np.int32), pa.int32()), *[batch.column(k).take(at) for k in range(3)]], names=["list", "id", "mark", "v"])
 
         return step
 
-    postings = cut(map_arrow(rows.select("id", "v"), place("lists_of"), f"list int, id long, v {kind}"))
-    asked = cut(map_arrow(rows.where("asked").select("id", "v"), place("probes_of"), f"list int, id long, v {kind}"))
+    listed = f"list int, id long, mark long, v {kind}"
+    postings = cut(map_arrow(rows.select("id", "mark", "v"), place("lists_of"), listed))
+    asked = cut(map_arrow(rows.where("asked").select("id", "mark", "v"), place("probes_of"), listed))
     parts = postings.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
     parts = parts.join(asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("q_blocks")), "list")
     parts = F.broadcast(cut(parts))  # a row for each list, MOST_LISTS at most
     spot = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = postings.join(parts, "list").select("list", spot("blocks").alias("block"), every("q_blocks").alias("q_block"), "id", "v")
-    right = asked.join(parts, "list").select("list", every("blocks").alias("block"), spot("q_blocks").alias("q_block"), "id", "v")
+    left = postings.join(parts, "list").select("list", spot("blocks").alias("block"), every("q_blocks").alias("q_block"), "id", "mark", "v")
+    right = asked.join(parts, "list").select("list", every("blocks").alias("block"), spot("q_blocks").alias("q_block"), "id", "mark", "v")
+    found_schema = "query_id long, q_mark long, q_copy int, vec_id long, mark long, copy int, score double"
 
     def compare(stored: pa.Table, wanted: pa.Table) -> pa.Table:
         x, q = matrix(stored.column("v")), matrix(wanted.column("v"))
-        ids, q_ids = stored.column("id").to_numpy(), wanted.column("id").to_numpy()
-        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for at in range(0, len(q) if len(x) else 0, 256):
-            part, names = q[at : at + 256], q_ids[at : at + 256]
+        (ids, marks), (q_ids, q_marks) = ([t.column(c).to_numpy() for c in ("id", "mark")] for t in (stored, wanted))
+        # equal rows stand in one block: they are numbered, and a query leaves out the one of its own number
+        copies, q_copies = copy_numbers(ids, marks), copy_numbers(q_ids, q_marks)
+        out: list[tuple[np.ndarray, ...]] = []
+        for s in parts_of(len(q) if len(x) else 0, len(x)):
+            part, own = q[s], np.flatnonzero(np.isin(ids, q_ids[s]))
             gap = squares(part, x)
-            gap[names[:, None] == ids[None]] = np.inf
+            same = (q_ids[s][:, None] == ids[own][None]) & (q_marks[s][:, None] == marks[own][None]) & (q_copies[s][:, None] == copies[own][None])
+            at = np.nonzero(same)
+            gap[at[0], own[at[1]]] = np.inf
             last = np.partition(gap, k - 1, axis=1)[:, k - 1] if gap.shape[1] > k else np.full(len(part), np.inf)
             # all that rounding could bring among the first k are measured exactly
             slack = last * (1 + 1e-9) + 1e-9 * ((part * part).sum(1) + (x * x).sum(1).max())
@@ -209,12 +233,24 @@ def search(vectors: DataFrame, queries: Column, k: int = 10, id_column: str = "v
                 near = np.flatnonzero((gap[i] <= slack[i]) & np.isfinite(gap[i]))
                 score = np.sqrt(((x[near] - part[i]) ** 2).sum(1))
                 best = np.lexsort((ids[near], score))[:k]
-                out.append((np.full(len(best), names[i]), ids[near][best], score[best]))
-        a, b, c = (np.concatenate(z) for z in zip(*out, strict=True))
-        return pa.table({"query_id": pa.array(a, pa.int64()), "vec_id": pa.array(b, pa.int64()), "score": pa.array(c, pa.float64())})
+                row, some = s.start + i, near[best]
+                out.append((np.full(len(best), q_ids[row]), np.full(len(best), q_marks[row]), np.full(len(best), q_copies[row]), ids[some], marks[some], copies[some], score[best]))
+        columns = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [[]] * 7
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64()]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in found_schema.split(", ")])
 
     keys = ["list", "block", "q_block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, "query_id long, vec_id long, score double")
-    found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(compare, found_schema)
+    query = ["query_id", "q_mark", "q_copy"]
+    found = found.groupBy(*query, "vec_id", "mark", "copy").agg(F.min("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy(*query).orderBy("score", "vec_id", "mark", "copy"))
     return found.withColumn("rank", rank.cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def copy_numbers(ids: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The number of each row among the rows that agree with it, from 0."""
+    order = np.lexsort((marks, ids))
+    new = np.r_[True, (np.diff(ids[order]) != 0) | (np.diff(marks[order]) != 0)][: len(ids)]
+    out = np.empty(len(ids), np.int32)
+    out[order] = np.arange(len(ids)) - np.maximum.accumulate(np.where(new, np.arange(len(ids)), 0))
+    return out
