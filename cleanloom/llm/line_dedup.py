@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import BLANKS, lower_ascii, small_or_shuffled
+from cleanloom.llm.common import BLANKS, lower_ascii, small_or_shuffled, unused
 from cleanloom.session import cut
 
 LEAST_DOCUMENTS = 10
@@ -64,23 +64,35 @@ def drop_bitmaps(
     return lines.select("doc_id", "text_hash", F.arrays_zip(starts.alias("from"), ends.alias("to")).alias("runs"))
 
 
-def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """``docs`` with the lines that stay as ``text_column``, and _n_lines and _n_dropped added; null texts become empty."""
-    marks = bitmaps.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("runs").alias("_runs"))
-    same = docs[id_column].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text_column].cast("string")) == F.col("_hash"))
-    rows = docs.join(small_or_shuffled(cut(marks), 200_000), same, "left").withColumn("_lines", lines_of(text_column))
+#: Bitmaps are sent to every task only within these rows and runs (a run takes some 20 bytes); beyond, the join shuffles.
+SMALL_BITMAPS, SMALL_RUNS = 200_000, 500_000
+
+
+def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_column: str = "doc_id", text_column: str = "text", counts: bool = True) -> DataFrame:
+    """``docs`` with the lines that stay as ``text_column``; null texts become empty.
+
+    With ``counts``, _n_lines and _n_dropped are added, in place of columns of ``docs`` with these names. Null ids and repeated
+    rows are looked up like others; other columns of any name pass through; an empty table stays empty.
+    """
+    mark, lines = unused("mark", docs.columns), unused("lines", docs.columns)
+    marks = cut(bitmaps.select(F.struct("doc_id", "text_hash", "runs").alias(mark)))
+    size = marks.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(f"{mark}.runs")).alias("runs")).first()
+    if size["n"] <= SMALL_BITMAPS and (size["runs"] or 0) <= SMALL_RUNS:
+        marks = F.broadcast(marks)
+    same = docs[id_column].eqNullSafe(F.col(f"{mark}.doc_id")) & (F.xxhash64(docs[text_column].cast("string")) == F.col(f"{mark}.text_hash"))
+    rows = docs.join(marks, same, "left").withColumn(lines, lines_of(text_column))
+    runs = F.col(f"{mark}.runs")
     # the kept runs lie between the dropped ones
-    starts = F.concat(F.array(F.lit(0)), F.transform("_runs", lambda r: r["to"] + 1))
-    ends = F.concat(F.transform("_runs", lambda r: r["from"]), F.array(F.size("_lines")))
-    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 1, b - a)))
-    dropped = F.aggregate("_runs", F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"] + 1)
-    text = F.when(F.col("_runs").isNull(), F.coalesce(F.col(text_column).cast("string"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
-    return rows.select(
-        *[text.alias(c) if c == text_column else F.col(c) for c in docs.columns],
-        F.size("_lines").cast("long").alias("_n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("_n_dropped"),
-    )
-
-
-def drop_shared_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    starts = F.concat(F.array(F.lit(0)), F.transform(runs, lambda r: r["to"] + 1))
+    ends = F.concat(F.transform(runs, lambda r: r["from"]), F.array(F.size(lines)))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice(lines, a + 1, b - a)))
+    dropped = F.aggregate(runs, F.lit(0).cast("long"), lambda n, r: n + r["to"] - r["from"] + 1)
+    text = F.when(runs.isNull(), F.coalesce(F.col(text_column).cast("string"), F.lit(""))).otherwise(F.array_join(kept, "\n"))
+    added = [F.size(lines).cast("long").alias("_n_lines"), F.coalesce(dropped, F.lit(0)).cast("long").alias("_n_dropped")] if counts else []
+    others = [c for c in docs.columns if not counts or c not in ("_n_lines", "_n_dropped")]
+    return rows.select(*[text.alias(c) if c == text_column else F.col(c) for c in others], *added)
+
+
+def drop_shared_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", counts: bool = True, **options) -> DataFrame:
     """``docs`` without the lines that many documents share; columns as :func:`apply_bitmaps`."""
-    return apply_bitmaps(docs, drop_bitmaps(docs, id_column=id_column, text_column=text_column, **options), id_column, text_column)
+    return apply_bitmaps(docs, drop_bitmaps(docs, id_column=id_column, text_column=text_column, **options), id_column, text_column, counts)

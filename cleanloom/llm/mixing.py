@@ -9,7 +9,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cleanloom.llm.common import WORD, small_or_shuffled
+from cleanloom.llm.common import WORD, small_or_shuffled, unused
 from cleanloom.session import cut
 
 #: Weight schedules over training time 0 to 1, as (time, level) knots joined by lines, one for each weight in turn.
@@ -78,10 +78,11 @@ def plan(
     (words), source_size, target, copies, taken (words, ``copies`` times size), positions (training time of each copy, 0
     to 1).
 
-    In each source, documents stand in the order of their id's md5. Whole rounds are taken of all, and of a last
-    round the documents whose middle lies within what is left of the target. The running sums are taken in blocks of
-    that order, whose totals are summed apart, so no source is sorted or summed in one task. Null texts have size 0;
-    a null id or source is a value of its own. An empty table gives an empty one.
+    In each source, documents stand in the order of their id's md5, round after round: the middle of each copy is a point
+    of the source's cumulative demand, and the source's integrated schedule, inverted there, is the copy's position. A
+    copy beyond the target has no position and is not taken. The running sums are taken in blocks of that order,
+    whose totals are summed apart, so no source is sorted or summed in one task. Null texts have size 0; a null id or
+    source is a value of its own. An empty table gives an empty one.
     """
     size = F.coalesce(F.regexp_count(F.col(text_column).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(
@@ -107,25 +108,20 @@ def plan(
     units = units.join(small_or_shuffled(blocks, 200_000), F.col("source").eqNullSafe(F.col("s")) & (F.col("block") == F.col("b")))
     inside = Window.partitionBy("source", "block").orderBy("order", "doc_id", "text_hash", "size").rowsBetween(Window.unboundedPreceding, -1)
     units = units.withColumn("at", F.col("ahead") + F.coalesce(F.sum(words).over(inside), F.lit(0)))
-    rounds = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    units = units.withColumn("rounds", F.least(rounds, F.lit(most)).cast("int"))
-    rest = F.col("target") - F.col("rounds") * F.col("source_size")
-    more = (F.col("rounds") < most) & (rest > 0) & (F.col("at") + words / 2 <= rest)
-    units = units.withColumn("copies", F.col("rounds") + more.cast("int"))
-    share = lambda k: F.least(F.lit(1.0), (k * F.col("source_size") + F.col("at") + words / 2) / F.greatest(F.col("target"), F.lit(1e-9)))
 
     def due(k: Column) -> Column:
-        x = share(k.cast("double"))
+        demand = k * F.col("source_size") + F.col("at") + words / 2
+        x = demand / F.greatest(F.col("target"), F.lit(1e-9))
         at = when_due(x, schedules[0])
         for turn in range(1, len(weights)):
             at = F.when(F.col("turn") == turn, when_due(x, schedules[turn % len(schedules)])).otherwise(at)
-        return at
+        return F.when((F.col("target") > 0) & (demand <= F.col("target")), at)
 
-    positions = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies") - 1), due)).otherwise(F.array().cast("array<double>"))
+    positions = F.filter(F.transform(F.sequence(F.lit(0), F.lit(most - 1)), due), lambda at: at.isNotNull())
+    units = units.withColumn("positions", positions).withColumn("copies", F.size("positions"))
     return units.select(
-        "doc_id", "text_hash", "source", "n_rows", "size", "source_size", "target", "copies",
-        (F.col("copies") * F.col("size")).alias("taken"), positions.alias("positions"),
-    )
+        "doc_id", "text_hash", "source", "n_rows", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), "positions"
+    )
 
 
 def in_order(planned: DataFrame) -> DataFrame:
@@ -151,14 +147,18 @@ def placed(planned: DataFrame) -> DataFrame:
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", **options) -> DataFrame:
-    """The documents in training order: every row as often as the mix takes it, range-sorted by ``position`` (added)."""
+    """The documents in training order: every row as often as the mix takes it, range-sorted by ``position``.
+
+    ``position`` is added, with underscores behind it if ``docs`` has such a column; other columns of any name pass
+    through. Nulls, repeats and empty tables as :func:`plan` has them.
+    """
     planned = plan(docs, id_column=id_column, text_column=text_column, source_column=source_column, **options)
-    planned = planned.where("copies > 0").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"), "positions")
+    name, position = unused("planned", docs.columns), unused("position", docs.columns)
+    planned = planned.where("copies > 0").select(F.struct("doc_id", "text_hash", "source", "positions").alias(name))
     same = (
-        docs[id_column].eqNullSafe(F.col("_id"))
-        & (F.xxhash64(docs[text_column].cast("string")) == F.col("_hash"))
-        & docs[source_column].cast("string").eqNullSafe(F.col("_source"))
+        docs[id_column].eqNullSafe(F.col(f"{name}.doc_id"))
+        & (F.xxhash64(docs[text_column].cast("string")) == F.col(f"{name}.text_hash"))
+        & docs[source_column].cast("string").eqNullSafe(F.col(f"{name}.source"))
     )
-    rows = docs.join(planned, same).select(*[docs[c] for c in docs.columns], F.explode("positions").alias("_position"))
-    rows = rows.repartitionByRange("_position", id_column).sortWithinPartitions("_position", id_column)
-    return rows.withColumnRenamed("_position", "position") if "position" not in docs.columns else rows
+    rows = docs.join(planned, same).select(*[docs[c] for c in docs.columns], F.explode(f"{name}.positions").alias(position))
+    return rows.repartitionByRange(position, id_column).sortWithinPartitions(position, id_column)

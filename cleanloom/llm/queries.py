@@ -102,23 +102,32 @@ def op2_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
         SELECT *, (sum(source_size) OVER () - 3 * coalesce(sum(source_size) OVER o, 0))::DOUBLE / (sum(weight) OVER () - coalesce(sum(weight) OVER o, 0))::DOUBLE AS level
         FROM s WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), t AS (
-        SELECT source, source_size,
+        SELECT source, source_size, weight,
             least((3 * source_size)::DOUBLE, (SELECT arg_min(level, source_size / weight) FROM f WHERE level * weight <= 3 * source_size) * weight) AS target
         FROM f
     ), c AS (
-        SELECT d.*, t.source_size, t.target, coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
-            CASE WHEN t.source_size > 0 THEN least(3, floor(t.target / t.source_size)) ELSE 0 END AS rounds
+        SELECT d.*, t.source_size, t.target, t.weight, size / 2 +
+            coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY md5(doc_id::VARCHAR) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE AS demand
         FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+    ), x AS (
+        SELECT *, target > 0 AND demand <= target AS first, target > 0 AND source_size + demand <= target AS second, target > 0 AND 2 * source_size + demand <= target AS third,
+            CASE WHEN target > 0 THEN demand / target END AS share
+        FROM c
     )
-    SELECT doc_id, size, source_size, target,
-        (size * (rounds + CASE WHEN rounds < 3 AND target - rounds * source_size > 0 AND before + size / 2 <= target - rounds * source_size THEN 1 ELSE 0 END))::BIGINT AS taken
-    FROM c
+    SELECT doc_id, size, source_size, target, size * (first::BIGINT + second::BIGINT + third::BIGINT) AS taken,
+        CASE WHEN first THEN round(CASE
+            WHEN weight = 1 THEN 2 * share / (1.5 + sqrt(greatest(0, 2.25 - 2 * share)))
+            WHEN weight = 2 THEN share
+            WHEN 0.9375 * share <= 0.3125 THEN 2 * (0.9375 * share) / (0.5 + sqrt(0.25 + 0.9375 * share))
+            ELSE 0.5 + 2 * (0.9375 * share - 0.3125) / (0.75 + sqrt(0.5625 + 4 * (0.9375 * share - 0.3125))) END, 9) END AS first_position
+    FROM x
     """,
 )
 def op5_mixing(spark: SparkSession, folder: str) -> DataFrame:
     planned = mixing.placed(mixing.plan(table(spark, folder, "documents")))
-    rows = planned.select("doc_id", "size", "source_size", "target", "taken", F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
-    return rows.select("doc_id", "size", "source_size", "target", "taken")
+    out = ["doc_id", "size", "source_size", "target", "taken", F.round("first_position", 9).alias("first_position")]
+    rows = planned.select(*out, F.explode(F.sequence(F.lit(1), F.col("n_rows"))))
+    return rows.drop("col")
 
 
 @query("op7_secret_scan")

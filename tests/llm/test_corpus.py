@@ -42,7 +42,8 @@ def by_id(df):
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{FOLDER}/documents.parquet'")
+    for table in ("documents", "conversations"):
+        con.sql(f"CREATE VIEW {table} AS SELECT * FROM '{FOLDER}/{table}.parquet'")
     got = QUERIES[name](spark, FOLDER)
     want = con.sql(SQL[name])
     assert sorted(got.columns) == sorted(want.columns)
@@ -153,6 +154,49 @@ def test_mixing(spark, docs, odd):
     assert max(abs(area(t) - k / 100) for k, t in enumerate(due)) < 1e-9
 
 
+def plain_positions(table, schedules):
+    """Positions of all copies taken, by stepping through each source's schedule in small steps."""
+    sources = defaultdict(list)
+    for r in table.select("doc_id", "source", "text").collect():
+        sources[r["source"]].append((hashlib.md5(str(r["doc_id"]).encode()).hexdigest(), r["doc_id"], len(WORDS.findall(r["text"] or ""))))
+    targets = {r["source"]: r["target"] for r in mixing.plan(table).select("source", "target").distinct().collect()}
+    out = {}
+    for n, source in enumerate(sorted(sources, key=lambda s: (s is None, (s or "").encode()))):
+        knots, demand = schedules[n % len(schedules)], 0.0
+        t = np.linspace(0, 1, 20_001)
+        level = np.interp(t, *zip(*knots, strict=True))
+        given = np.concatenate([[0.0], np.cumsum((level[1:] + level[:-1]) / 2)])
+        for k in range(3):
+            for _, doc, size in sorted(sources[source]):
+                if targets[source] and demand + size / 2 <= targets[source]:
+                    out.setdefault(doc, []).append(float(np.interp((demand + size / 2) / targets[source], given / given[-1], t)))
+                demand += size
+    return out
+
+
+def test_positions_follow_the_schedule(docs):
+    other = (((0.0, 0.0), (1.0, 2.0)), ((0.0, 2.0), (1.0, 0.0)), ((0.0, 1.0), (0.25, 3.0), (1.0, 0.1)))
+    first = {}
+    for schedules in (mixing.SCHEDULES, other):
+        want = plain_positions(docs, schedules)
+        got = {r["doc_id"]: r["positions"] for r in mixing.plan(docs, schedules=schedules).collect()}
+        assert all(np.allclose(p, want.get(d, []), atol=2e-4) for d, p in got.items())
+        first[schedules] = [d for _, d in sorted((p[0], d) for d, p in got.items() if p)]
+    assert first[mixing.SCHEDULES] != first[other]
+
+
+def test_columns_that_clash(spark):
+    names = ["_id", "_hash", "_runs", "_source", "_position", "positions", "position", "mark", "lines", "planned", "gone", "_gone", "_lines", "doc_id_", "text_hash", "runs", "size", "copies"]
+    rows = [(i, f"shared line\nown {i} of many words here now", "s" if i % 2 else None, *range(len(names))) for i in range(12)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} long" for n in names))
+    kept = line_dedup.drop_shared_lines(table, counts=False)
+    assert kept.columns == table.columns and {r["runs"] for r in kept.collect()} == {names.index("runs")}
+    assert all("shared" not in r["text"] for r in kept.collect())
+    assert ngram_join.one_of_each(table).columns == table.columns and ngram_join.one_of_each(table).count() == 12
+    mixed = mixing.mix(table)
+    assert mixed.columns == [*table.columns, "position_"] and mixed.count() > 0
+
+
 def test_mixing_query_reads_the_sorted_copies(spark, docs, odd, monkeypatch):
     for table in (docs, odd):
         planned = {tuple(r[c] for c in mixing.UNIT): r for r in mixing.plan(table).collect()}
@@ -296,6 +340,20 @@ def test_nearest_recall_and_odd_vectors(spark, monkeypatch):
     assert ann.search(table.limit(0), F.lit(True)).count() == 0
 
 
+def test_nearest_rows_that_share_an_id(spark, monkeypatch):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [2.0, 0.0]), (1, [1.0, 0.5]), (100, [9.0, 9.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = Counter()
+    for i, (q, x) in enumerate(rows):
+        if q % 100 == 0:
+            near = sorted((float(np.sqrt(((np.array(x) - np.array(y)) ** 2).sum())), v) for j, (v, y) in enumerate(rows) if j != i)[:3]
+            want.update((q, n + 1, v, s) for n, (s, v) in enumerate(near))
+    for block in (4096, 2):
+        monkeypatch.setattr(ann, "BLOCK", block)
+        got = ann.search(table, F.col("vec_id") % 100 == 0, k=3).collect()
+        assert Counter(map(tuple, got)) == want
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as pipeline
 
