@@ -18,6 +18,8 @@ LIST_SIZE = 160
 SAMPLE_VALUES = 4_000_000
 #: Cells of a table of distances while the index is fitted (16 MB).
 CELLS = 2_000_000
+#: Vectors that walk the graph of centres together.
+AT_ONCE = 256
 MOST_LISTS = 8_192
 BLOCK = 4_096
 
@@ -132,14 +134,20 @@ class Index:
 
     def lists_of(self, vectors: np.ndarray) -> list[np.ndarray]:
         """The lists each vector stands in: its nearest, and those whose border it is near."""
-        ids, gap = self.graph.search(vectors, max(16, self.copies))
-        ids, gap = ids[:, : self.copies], gap[:, : self.copies]
-        return [i[: int((g <= self.border**2 * g[0]).sum())] for i, g in zip(ids, gap, strict=True)]
+        out: list[np.ndarray] = []
+        for at in range(0, len(vectors), AT_ONCE):
+            ids, gap = self.graph.search(vectors[at : at + AT_ONCE], max(16, self.copies))
+            ids, gap = ids[:, : self.copies], gap[:, : self.copies]
+            out += [i[: int((g <= self.border**2 * g[0]).sum())] for i, g in zip(ids, gap, strict=True)]
+        return out
 
     def probes_of(self, vectors: np.ndarray) -> list[np.ndarray]:
-        ids, gap = self.graph.search(vectors, self.width)
-        least = min(4, ids.shape[1])
-        return [i[: max(least, int((g <= self.ratio**2 * g[0]).sum()))] for i, g in zip(ids, gap, strict=True)]
+        out: list[np.ndarray] = []
+        for at in range(0, len(vectors), AT_ONCE):
+            ids, gap = self.graph.search(vectors[at : at + AT_ONCE], self.width)
+            least = min(4, ids.shape[1])
+            out += [i[: max(least, int((g <= self.ratio**2 * g[0]).sum()))] for i, g in zip(ids, gap, strict=True)]
+        return out
 
 
 def fit(x: np.ndarray, n_rows: int, list_size: int = LIST_SIZE, k: int = 10, border: float = 1.05, copies: int = 4, recall: float = 0.95) -> Index:
