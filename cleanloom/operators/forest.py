@@ -31,20 +31,30 @@ def _average_depth(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, big, np.where(n == 2, 1.0, 0.0))
 
 
-def _tree_steps(values: np.ndarray, limit: int, rng: np.random.Generator) -> list[tuple[float, float]]:
-    """One isolation tree as (upper bound, path length) steps, in increasing order."""
-    stack, steps = [(np.sort(values), np.inf, 0)], []
-    while stack:
-        part, upper, depth = stack.pop()
-        if depth == limit or len(part) <= 1 or part[0] == part[-1]:
-            steps.append((upper, depth + float(_average_depth(len(part)))))
-            continue
-        at = rng.uniform(part[0], part[-1])
-        left = np.searchsorted(part, at, side="right")
-        # the left part is taken from the stack first
-        stack.append((part[left:], upper, depth + 1))
-        stack.append((part[:left], at, depth + 1))
-    return steps
+def grown_leaves(positions: np.ndarray, pool: np.ndarray, limit: int, rng: np.random.Generator) -> tuple[np.ndarray, ...]:
+    """The leaves of all trees, level by level: tree, place in the order of values, upper bound, path length.
+
+    ``positions`` (trees, sample): where the values of each tree stand in the sorted ``pool``, in rising order. A node is a run
+    of these; it is cut at a random value between its smallest and its largest.
+    """
+    trees, size = positions.shape
+    far = len(pool) + 1
+    flat = (positions + np.arange(trees)[:, None] * far).ravel()  # rising over all trees
+    tree = np.arange(trees)
+    start, end, upper = tree * size, (tree + 1) * size, np.full(trees, np.inf)
+    leaves: list[tuple[np.ndarray, ...]] = []
+    for depth in range(limit + 1):
+        low, high = pool[flat[start] - tree * far], pool[flat[end - 1] - tree * far]
+        closed = (low == high) | (end - start <= 1) if depth < limit else np.ones(len(tree), bool)
+        leaves.append((tree[closed], start[closed], upper[closed], depth + _average_depth((end - start)[closed])))
+        tree, start, end, upper, low, high = (x[~closed] for x in (tree, start, end, upper, low, high))
+        if not len(tree):
+            break
+        at = low + (high - low) * rng.random(len(tree))
+        middle = np.searchsorted(flat, tree * far + np.searchsorted(pool, at, side="right"), side="left")
+        middle = np.clip(middle, start + 1, end - 1)
+        tree, start, end, upper = np.r_[tree, tree], np.r_[start, middle], np.r_[middle, end], np.r_[at, upper]
+    return tuple(np.concatenate(x) for x in zip(*leaves, strict=True))
 
 
 def tree_hashes(rows: np.ndarray, tree: int) -> np.ndarray:
@@ -81,17 +91,22 @@ def outlier_bounds(
     pool, rows = pool[by], rows[by]
     size = min(sample, len(pool))
     limit = int(np.ceil(np.log2(max(size, 2))))
-    samples = (np.argsort(tree_hashes(rows, tree), kind="stable")[:size] for tree in range(trees))
-    forest = [_tree_steps(pool[chosen], limit, rng) for chosen in samples]
-    edges = np.unique([upper for steps in forest for upper, _ in steps])
-    depth = np.zeros(len(edges))
-    for steps in forest:
-        upper, path = np.array(steps).T
-        depth += path[np.searchsorted(upper, edges, side="left")]
+    chosen = np.tile(np.arange(size), (trees, 1))
+    if size < len(pool):
+        for tree in range(trees):
+            chosen[tree] = np.sort(np.argpartition(tree_hashes(rows, tree), size - 1)[:size])
+    tree, place, upper, path = grown_leaves(chosen, pool, limit, rng)
+    order = np.lexsort((place, tree))
+    tree, upper, path = tree[order], upper[order], path[order]
+    # the summed path length is a step function: it starts with the first leaf of each tree and changes behind upper bounds
+    inner = np.flatnonzero(tree[1:] == tree[:-1])
+    edges, at = np.unique(np.r_[upper[inner], np.inf], return_inverse=True)
+    change = np.bincount(at[:-1], path[inner + 1] - path[inner], len(edges))
+    depth = path[np.r_[True, tree[1:] != tree[:-1]]].sum() + np.r_[0.0, np.cumsum(change)[:-1]]
     unit = max(float(_average_depth(size)), 1e-12)
     flagged = 2 ** (-(depth / trees) / unit) > SCORE_LIMIT
-    change = np.flatnonzero(flagged[1:] != flagged[:-1])
-    return bool(flagged[0]), [float(edges[i]) for i in change]
+    changes = np.flatnonzero(flagged[1:] != flagged[:-1])
+    return bool(flagged[0]), [float(edges[i]) for i in changes]
 
 
 def _bounds_below(bounds: Column, x: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import any_null
+from cleanloom.operators.trees import Growth, chain_trees_in_rounds, chain_with_trees
 from cleanloom.plans import gram as G
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, spread_by
@@ -70,10 +71,14 @@ def impute_chain(
     is_train: Column | None = None,
     rounds: int = MOST_ROUNDS,
     group_rows: int = GROUP_ROWS,
+    estimator: str = "ridge",
+    growth: Growth | None = None,
 ) -> DataFrame:
-    """I5 with ridge regressions. Groups of at most ``group_rows`` rows are solved in one task each; larger ones by
+    """I5 with ridge regressions, or ``estimator="tree"`` with regression trees, for every group. Groups of at most ``group_rows`` rows are solved in one task each; larger ones by
     the same rounds with distributed sums. Each group stops by itself, by one rule on both paths, after ``rounds`` at
     most. ``row_id`` must identify a row inside its group."""
+    if estimator not in MATRICES:
+        raise ValueError(f"unknown estimator {estimator!r}; use one of {sorted(MATRICES)}")
     train = F.lit(True) if is_train is None else is_train
     g = keys if isinstance(keys, Grouping) and keys.is_bounded else Grouping.of(
         df, keys.keys if isinstance(keys, Grouping) else keys, group_rows
@@ -82,22 +87,30 @@ def impute_chain(
     cold, hot = g.split(marked)
     parts = []
     if cold is not None:
-        parts.append(_chain_in_tasks(cold, g.keys, columns, rounds))
+        parts.append(_chain_in_tasks(cold, g.keys, columns, rounds, estimator, growth))
     if hot is not None:
-        parts.append(_chain_in_rounds(hot, g, columns, row_id, rounds))
+        if estimator == "ridge":
+            parts.append(_chain_in_rounds(hot, g, columns, row_id, rounds))
+        else:
+            parts.append(_tree_chain_in_rounds(hot, g, columns, row_id, rounds, growth or Growth()))
     out = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
     return out.drop("_train")
 
 
-def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rounds: int) -> DataFrame:
+#: What fills a standardised matrix within a task, by estimator.
+MATRICES = {"ridge": chain_matrix, "tree": chain_with_trees}
+
+
+def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rounds: int, estimator: str, growth: Growth | None) -> DataFrame:
     columns = list(columns)
+    matrix, more = MATRICES[estimator], {"growth": growth} if growth else {}
     df = df.withColumns({c: F.col(c).cast("double") for c in columns})
 
     def fill(rows: pa.Table) -> pa.Table:
         x = np.column_stack([rows.column(c).to_numpy() for c in columns]).astype(float)
         train = rows.column("_train").to_numpy().astype(bool)
         mean, spread = _observed(np.where(train[:, None], x, np.nan))
-        filled = np.where(np.isnan(x), chain_matrix((x - mean) / spread, train, rounds) * spread + mean, x)
+        filled = np.where(np.isnan(x), matrix((x - mean) / spread, train, rounds, TOLERANCE, **more) * spread + mean, x)
         for i, c in enumerate(columns):
             rows = rows.set_column(rows.schema.get_field_index(c), c, pa.array(filled[:, i]))
         return rows
@@ -182,6 +195,16 @@ def _chain_in_rounds(df, g: Grouping, columns, row_id, rounds) -> DataFrame:
     return out if g.keys else out.drop("_all")
 
 
+def _tree_chain_in_rounds(df, g: Grouping, columns, row_id, rounds, growth: Growth) -> DataFrame:
+    df, keys = _shared(df, g.keys)
+    own = Grouping(keys, df.select(*keys).distinct(), False, g.max_rows)
+    table, units = _standardised(df, own, columns), [f"_{n}{i}" for n in ("m", "s") for i in range(len(columns))]
+    ids = [*keys, *row_id]
+    state = chain_trees_in_rounds(table, keys, ids, len(columns), rounds, TOLERANCE, growth, keep=units)
+    out = _finished(df, state, ids, columns)
+    return out if g.keys else out.drop("_all")
+
+
 def _sum_grams(a: DataFrame, b: DataFrame, keys: Sequence[str], width: int) -> DataFrame:
     """Element-wise sum of two tables of Gram arrays (few rows each)."""
     both = a.select(*keys, F.col("_base").alias("_gram")).unionByName(b.select(*keys, F.col("_more").alias("_gram")))

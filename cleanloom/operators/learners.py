@@ -17,13 +17,14 @@ from pyspark.ml.classification import (
 )
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.param import Param
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder, TrainValidationSplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.operators.encode import feature_vector
 from cleanloom.operators.linear import ALPHAS
+from cleanloom.operators.trees import boost
 from cleanloom.session import cut
 
 FEATURES, LABEL, PREDICTION = "_features", "_label", "prediction"
@@ -51,10 +52,9 @@ def estimator(name: str, seed: int = 0) -> Estimator:
         "naive_bayes": lambda: NaiveBayes(modelType="gaussian", **io),
         "svm": lambda: OneVsRest(classifier=LinearSVC(maxIter=SVM_STEPS, featuresCol=FEATURES, labelCol=LABEL), **io),
         "rf_regressor": lambda: RandomForestRegressor(numTrees=100, maxDepth=DEEPEST, seed=seed, **io),
-        "gbt_regressor": lambda: GBTRegressor(maxIter=20, maxDepth=5, subsamplingRate=0.9, seed=seed, **io),
     }
     if name not in makers:
-        raise ValueError(f"unknown model {name!r}; use one of {sorted([*makers, 'ada_boost'])}")
+        raise ValueError(f"unknown model {name!r}; use one of {sorted([*makers, 'ada_boost', 'gbt_regressor'])}")
     return makers[name]()
 
 
@@ -104,6 +104,9 @@ def predict(
 ) -> DataFrame:
     """Fit on ``train`` and add ``prediction`` to ``test``. ``tuned`` searches the model's grid by 5-fold F1, or for
     the forest regressor ``trials`` random settings on a validation split."""
+    if name == "gbt_regressor":
+        both = train.withColumn(LABEL, F.lit(True)).unionByName(test.withColumn(LABEL, F.lit(False)))
+        return boost(both, [], features, label, test.columns, F.col(LABEL), seed=seed).where(~F.col(LABEL)).select(*test.columns, PREDICTION)
     ready = shaped(train, features, label)
     if name == "ada_boost":
         return _ada_boost(ready, shaped(test, features, label), seed=seed).drop(FEATURES, LABEL)

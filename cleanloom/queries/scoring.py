@@ -12,6 +12,7 @@ from cleanloom.operators.impute_chain import impute_chain, impute_chain_neighbou
 from cleanloom.operators.impute_knn import impute_knn as fill_knn
 from cleanloom.operators.impute_knn import knn_classify as vote_knn
 from cleanloom.operators.linear import ALPHAS, TEST_PART, fit_linear
+from cleanloom.operators.trees import boost
 from cleanloom.plans.grouping import Grouping
 from cleanloom.queries.inputs import (
     EVENT_ORDER,
@@ -88,6 +89,12 @@ def impute_chain_knn(spark, folder) -> DataFrame:
     )
 
 
+@query("impute_chain_tree_by_key")
+def impute_chain_tree_by_key(spark, folder) -> DataFrame:
+    """Chained equations with regression trees of every supplier's order lines."""
+    return _cells(impute_chain(gappy_lines(spark, folder), SUPPLIER, LINE_VALUES, LINE_ORDER, is_train(), estimator="tree"))
+
+
 @query("impute_chain_tree")
 def impute_chain_tree(spark, folder) -> DataFrame:
     return _cells(impute_chain_trees(gappy_lines(spark, folder), LINE_VALUES, is_train()))
@@ -342,6 +349,14 @@ for _name, _model in (
 _model_query("model_nb", "naive_bayes", _naive_bayes_sql())
 
 
+@query("boost_by_key")
+def boost_by_key(spark, folder) -> DataFrame:
+    """A boosted regressor of the price of every supplier's order lines, 50 trees each; predictions of the held-out lines."""
+    rows = gappy_lines(spark, folder).where("price IS NOT NULL")
+    found = boost(rows, SUPPLIER, ["qty", "disc", "tax"], "price", LINE_ID, F.col("is_train"), trees=50)
+    return found.where("NOT is_train").select("l_suppkey", *LINE_ID, rounded("prediction", 3).alias("prediction"))
+
+
 # -- the sweep ------------------------------------------------------------------------------------------------------
 
 FEATURES, TARGET = ["qty", "disc", "tax", "day_5", "day_30", "std_5"], "price"
@@ -361,6 +376,13 @@ def sweep(spark, folder) -> DataFrame:
     return sweeps.sweep(parts, ["l_suppkey", "partition_id"], FEATURES, TARGET, ["series_row"], LINE_ID)
 
 
+@query("sweep_trees")
+def sweep_trees(spark, folder) -> DataFrame:
+    """The sweep with a regression tree of each partition and column in the chained fill."""
+    parts = _series_partitions(spark, folder)
+    return sweeps.sweep(parts, ["l_suppkey", "partition_id"], FEATURES, TARGET, ["series_row"], LINE_ID, chain="tree")
+
+
 @query("sweep_outliers")
 def sweep_outliers(spark, folder) -> DataFrame:
     """Five imputers, three detectors and two repairs on every partition."""
