@@ -86,16 +86,17 @@ def candidate_sums(
         group, total = None, None
         for batch in batches:
             for name, part in batch.groupby(by, sort=False, dropna=False):
+                name = tuple(None if pd.isna(v) else v for v in name)
                 z = np.column_stack([np.ones(len(part)), part[names].to_numpy(dtype=float)])
                 sums = (z.T @ z)[upper]
                 if name == group:
                     total += sums
                     continue
                 if group is not None:
-                    yield pd.DataFrame([[*group, total]], columns=[*by, "gram"])
+                    yield pd.DataFrame([[*group, total]], columns=[*by, "gram"], dtype=object)
                 group, total = name, sums
         if group is not None:
-            yield pd.DataFrame([[*group, total]], columns=[*by, "gram"])
+            yield pd.DataFrame([[*group, total]], columns=[*by, "gram"], dtype=object)
 
     return placed.select(*by, *names).mapInPandas(partial, f"{types}, gram array<double>")
 
@@ -143,15 +144,7 @@ def search_chains(
     none improves, or for ``rounds``. ``target_as="rank"`` takes the dense rank of the target among all rows of the key.
     """
     g = grouping(df, keys)
-    train = F.col(split) == "train"
-    df, target = _shaped_target(df, g, target, target_as)
-    names = [f"_x{f}_{o}" for f in range(len(features)) for o in range(len(chains))]
-    wanted = {
-        f"_x{f}_{o}": (c, chain) for f, c in enumerate(features) for o, chain in enumerate(chains)
-    }
-    ready = apply_chains(df, g, wanted, train, row_id)
-    ready = opt.run(ready, g, {"_y": (target, scaler_option("ZS"))}, train)
-    sums = candidate_sums(ready, g, [*names, "_y"], row_id, split)
+    sums = option_sums(df, g, features, target, chains, row_id, split, target_as)
     by = g.keys or ["_all"]
     sums = sums if g.keys else sums.withColumn("_all", F.lit(0))
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in by)
@@ -168,7 +161,7 @@ def search_chains(
         choice, best, at, w = _descend(total["train"], total["val"], d, m, start, rounds)
         _, first, _, _ = _descend(total["train"], total["val"], d, m, start, 0)
         loss = {s: float(G.mean_squared_error(total[s][np.ix_(at, at)][None], w)[0]) for s in SPLITS}
-        out = pdf[by].head(1).assign(
+        out = pdf[by].head(1).astype(object).assign(
             start_val_loss=first, best_val_loss=best, best_tr_loss=loss["train"], best_test_loss=loss["test"]
         )
         out["choices"] = pd.Series([[labels[o] for o in choice]], index=out.index, dtype=object)
@@ -182,6 +175,21 @@ def search_chains(
     return result if g.keys else result.drop("_all")
 
 
+def option_sums(
+    df: DataFrame, g: Grouping, features: Sequence[str], target: str, chains: Sequence[Chain], row_id: Sequence[str], split: str = "split", target_as: str = "value"
+) -> DataFrame:
+    """Sums of products of every chain of every feature, in this order, and the standardised target, per (keys, split)."""
+    train = F.col(split) == "train"
+    df, target = _shaped_target(df, g, target, target_as)
+    names = [f"_x{f}_{o}" for f in range(len(features)) for o in range(len(chains))]
+    wanted = {
+        f"_x{f}_{o}": (c, chain) for f, c in enumerate(features) for o, chain in enumerate(chains)
+    }
+    ready = apply_chains(df, g, wanted, train, row_id)
+    ready = opt.run(ready, g, {"_y": (target, scaler_option("ZS"))}, train)
+    return candidate_sums(ready, g, [*names, "_y"], row_id, split)
+
+
 def _shaped_target(df: DataFrame, g: Grouping, target: str, target_as: str) -> tuple[DataFrame, str]:
     """Rows with a target, and the column to predict: the target or its dense rank inside the key (N-Y)."""
     if target_as not in ("value", "rank"):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.operators import partitions, reports, search, space
+from cleanloom.operators import learn, partitions, reports, search, space
 from cleanloom.operators.scale import SCALERS, scaler_option
 from cleanloom.plans.grouping import Grouping
 from cleanloom.queries.inputs import GAPPY_SQL, LINE_ID, LINE_SQL, gappy_lines, line_shuffle, lines
@@ -197,6 +197,17 @@ def search_fixed(spark, folder) -> DataFrame:
     return search.search_fixed(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, LINE_ID)
 
 
+@query("learned_probabilities")
+def learned_probabilities(spark, folder) -> DataFrame:
+    """Probabilities of every imputer and scaler per supplier and feature, learned on the validation loss."""
+    steps = space.preparation_space(models=True)
+    chains = search.fixed_chains(steps, ("missing_value_imputation", "normalization"))
+    start = search.default_position(chains, steps)
+    found = learn.learn_probabilities(_split_lines(spark, folder), SUPPLIER, FEATURES, TARGET, chains, LINE_ID, start)
+    log = learn.probability_log(found, SUPPLIER, FEATURES, chains)
+    return log.select("l_suppkey", "feature", "option", rounded("probability", 4).alias("probability"), "chosen")
+
+
 @query("search_rank_target")
 def search_rank_target(spark, folder) -> DataFrame:
     """The search with the dense rank of the price as its target."""
