@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cleanloom.functions.columns import any_null
-from cleanloom.operators.trees import Growth, chain_trees_in_rounds, chain_with_trees
+from cleanloom.operators.trees import TREE_ROUNDS, Growth, chain_trees_in_rounds, chain_with_trees
 from cleanloom.plans import gram as G
 from cleanloom.plans import stats as st
 from cleanloom.plans.grouping import Grouping, spread_by
@@ -69,7 +69,7 @@ def impute_chain(
     columns: Sequence[str],
     row_id: Sequence[str],
     is_train: Column | None = None,
-    rounds: int = MOST_ROUNDS,
+    rounds: int | None = None,
     group_rows: int = GROUP_ROWS,
     estimator: str = "ridge",
     growth: Growth | None = None,
@@ -79,6 +79,7 @@ def impute_chain(
     most. ``row_id`` must identify a row inside its group."""
     if estimator not in MATRICES:
         raise ValueError(f"unknown estimator {estimator!r}; use one of {sorted(MATRICES)}")
+    rounds = most_rounds(estimator) if rounds is None else rounds
     train = F.lit(True) if is_train is None else is_train
     g = keys if isinstance(keys, Grouping) and keys.is_bounded else Grouping.of(
         df, keys.keys if isinstance(keys, Grouping) else keys, group_rows
@@ -101,6 +102,10 @@ def impute_chain(
 MATRICES = {"ridge": chain_matrix, "tree": chain_with_trees}
 
 
+def most_rounds(estimator: str) -> int:
+    return TREE_ROUNDS if estimator == "tree" else MOST_ROUNDS
+
+
 def _chain_in_tasks(df: DataFrame, keys: Sequence[str], columns: Sequence[str], rounds: int, estimator: str, growth: Growth | None) -> DataFrame:
     columns = list(columns)
     matrix, more = MATRICES[estimator], {"growth": growth} if growth else {}

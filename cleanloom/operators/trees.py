@@ -34,6 +34,8 @@ GAIN_UNIT = 1e-9
 FEW_NODES = 100_000
 # levels between two cuts of the rows
 LEVELS_AT_ONCE = 2
+# rounds of a chain of trees at most: their steps often go round in circles and never come within the tolerance
+TREE_ROUNDS = 20
 # rows of one group that one task may hold as a matrix
 GROUP_ROWS = 200_000
 # fixed values: the boosted regressor's usual step and penalty, and the size, depth and share of rows asked for
