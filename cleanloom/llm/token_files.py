@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cleanloom.llm.bpe import printable_bytes
 from cleanloom.llm.common import claim, shared_folder
 from cleanloom.session import ship_package
 
@@ -144,69 +145,92 @@ def open_store(uri: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(uri)
 
 
-class ChunkEncoder:
-    """The library's ids of a text, each distinct run without white space encoded once.
+#: How the vocabulary's files of this kind normalise and cut a text, and the mark of a word's end.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD_END = "</w>"
 
-    Normalising and cutting never look across white space in vocabularies that drop it, so the ids of a text are those
-    of its runs in turn.
+#: Small letters of alphabets whose lower-casing goes letter by letter and which NFC leaves alone.
+SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f\u0400-\u045f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fff\uac00-\ud7a3"
+#: Characters that are neither those letters, their capitals nor plain digits, signs and white space.
+ODD = re.compile(f"[^\x00-\x1b\x20-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00de\u00f7\u2010-\u2027\u2030-\u205e{SMALL}]")
+PLAIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{SMALL}]+|[0-9]|[^\s{SMALL}0-9]+")
+
+
+def word_ranks(vocabulary: dict) -> dict[bytes, int] | None:
+    """Ranks under which plain byte-pair merging gives a vocabulary's ids, a space standing for the end of a word.
+
+    None unless the file normalises, cuts and merges as expected here: each single byte stands before all merges, with
+    and without the end of a word, and every merge gives the next id.
     """
+    model, before = vocabulary["model"], (vocabulary.get("pre_tokenizer") or {}).get("pretokenizers") or []
+    cuts = [
+        {"type": "Split", "pattern": {"Regex": WORD}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ]
+    others = ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if vocabulary.get("normalizer") != NORMALIZER or before != cuts or model["type"] != "BPE":
+        return None
+    if model.get("end_of_word_suffix") != WORD_END or any(model.get(o) for o in others):
+        return None
+    as_byte = printable_bytes()
+    special = {t["content"] for t in vocabulary["added_tokens"]}
+
+    def key(token: str) -> bytes:
+        body = token.removesuffix(WORD_END)
+        return bytes(as_byte[c] for c in body) + (b" " if body != token else b"")
+
+    ranks = {key(t): i for t, i in model["vocab"].items() if t not in special}
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [model["vocab"].get(a + b) for a, b in pairs]
+    alone = all(ranks.get(bytes([b]) + end, 512) < 512 for b in range(256) for end in (b"", b" ") if b != 32 or not end)
+    return ranks if alone and made == list(range(512, 512 + len(pairs))) and len(ranks) == 512 + len(pairs) else None
+
 
-    REMEMBERED = 900_000
+class WordEncoder:
+    """The library's ids of a text, as 32-bit numbers.
+
+    With a vocabulary that ``word_ranks`` knows, words of plain characters are cut here and merged in one go, an end mark
+    behind each. Normalising and cutting never look across white space there, so runs with other characters go to
+    the library one by one. With any other vocabulary the library encodes whole texts.
+    """
 
     def __init__(self, vocabulary: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(vocabulary)
-        self.known: dict[str, bytes] = {}
-        self.suffix = json.loads(vocabulary)["model"].get("end_of_word_suffix")
-        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
-        if self.suffix:
-            self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith(self.suffix)]] = True
-
-    def learn(self, pieces: list[str]) -> None:
-        """Pieces of letters alone are encoded in one go: each is a word, and ends where a token ends a word."""
-        words = [p for p in pieces if p.isalpha() and (p.isascii() or unicodedata.normalize("NFC", p.lower()).isalpha())] if self.suffix else []
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) == len(part):
-                data, stops = ids.tobytes(), (4 * ends).tolist()
-                self.known.update(zip(part, [data[i:j] for i, j in zip([0, *stops], stops, strict=False)], strict=True))
-        pieces = [p for p in pieces if p not in self.known]
-        for at in range(0, len(pieces), 20_000):
-            part = pieces[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = array("I", e.ids).tobytes()
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        # str.split also cuts at four control characters, which are no white space to the vocabulary
-        cut = [re.split(r"[ \t\n\r]+", t) if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]
-        if len(self.known) > self.REMEMBERED:
-            self.known.clear()
-        known = self.known
-        new = {c for chunks in cut for c in chunks if c not in known}
-        simple = {c: pieces for c in new if (pieces := letters_and_mark(c))}
-        self.learn(list({p for p in (new - simple.keys()).union(*simple.values()) if p not in known}))
-        for c, pieces in simple.items():
-            known[c] = b"".join([known[p] for p in pieces])
-        return [b"".join(map(known.__getitem__, chunks)) for chunks in cut]
-
-
-def letters_and_mark(chunk: str) -> list[str] | None:
-    """Letters with a mark behind are two words to the vocabulary; plain capitals are encoded as small letters."""
-    body, mark = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",", "!", "?", ";", ":") else (chunk, "")
-    if not body.isalpha():
-        return None
-    if body.isascii():
-        body = body.lower()
-    elif not unicodedata.normalize("NFC", body.lower()).isalpha():
-        return None
-    pieces = [body, mark] if mark else [body]
-    return None if pieces == [chunk] else pieces
+        self.tokenizer, parsed = Tokenizer.from_str(vocabulary), json.loads(vocabulary)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        added = parsed["added_tokens"]
+        # runs in which such a token may stand go to the library
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in added) or "(?!)")
+        bound = any(t["content"].split() != [t["content"]] or any(t.get(o) for o in ("lstrip", "rstrip", "single_word", "normalized")) for t in added)
+        ranks = None if bound else word_ranks(parsed)
+        self.words = ranks and tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+
+    def by_library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def by_words(self, text: str) -> bytes:
+        words = PLAIN_WORD.findall(text.lower())
+        return self.words.encode_to_numpy(" ".join(words) + " ").astype("<u4", copy=False).tobytes() if words else b""
+
+    def is_plain(self, text: str) -> bool:
+        return not ODD.search(text) and not self.special.search(text)
+
+    def encode(self, text: str) -> bytes:
+        if self.words is None:
+            return self.by_library(text)
+        if self.is_plain(text):
+            return self.by_words(text)
+        return b"".join(
+            self.by_words(" ".join(runs)) if plain else b"".join(map(self.by_library, runs))
+            for plain, runs in groupby(re.split(r"[ \t\n\r]+", text), self.is_plain)
+        )
 
 
-_encoders: dict[int, ChunkEncoder] = {}
+_encoders: dict[int, WordEncoder] = {}
 
 
 def write_tokens(
@@ -217,8 +241,7 @@ def write_tokens(
     The documents are dealt out by ranges of their id and sorted there (equal ids by text, null ids first); each task
     writes one file, under a name of its own first and then under its final one, so an attempt that is lost or
     repeated leaves nothing half written. The manifest has a row for each file: file, n_docs, n_ids, start (ids
-    of all files before it). A null text is an empty one: its document has the end id alone. The vocabulary must be
-    one that drops white space. An empty table gives no file.
+    of all files before it). A null text is an empty one: its document has the end id alone. An empty table gives no file.
     """
     spark = docs.sparkSession
     ship_package(spark)
@@ -227,15 +250,13 @@ def write_tokens(
         vocabulary = spark.sparkContext.broadcast(f.read())
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import gc
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         claim("token files", _encoders.clear)
         key = hash(vocabulary.value)
         if key not in _encoders:
-            _encoders[key] = ChunkEncoder(vocabulary.value)
-            gc.set_threshold(200_000, 20, 100)  # many strings, few cycles
+            _encoders[key] = WordEncoder(vocabulary.value)
         encoder, end = _encoders[key], np.array([end_id], "<u4").tobytes()
         store, path = open_store(folder)
         store.create_dir(path, recursive=True)
@@ -255,14 +276,12 @@ def write_tokens(
             return pa.record_batch({"file": [name], "n_docs": [len(doc_ids)], "n_ids": [sum(counts)]})
 
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for d, x in zip(part.column(0).to_pylist(), encoder.encode_batch(texts), strict=True):
-                    kept.append((d, x + end))
-                    held += len(x)
-                    if held >= 32_000_000:
-                        yield flush()
+            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                x = encoder.encode(text.as_py() or "")
+                kept.append((d, x + end))
+                held += len(x)
+                if held >= 32_000_000:
+                    yield flush()
         if kept:
             yield flush()
 

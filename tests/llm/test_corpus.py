@@ -73,6 +73,26 @@ def test_encoding_as_the_library(spark, docs, odd):
     assert token_files.read_tokens(spark, folder, manifest).count() == 0 == bpe.encode(docs.limit(0), vocabulary("byte_bpe_50k.json")).count()
 
 
+def test_words_as_the_library(docs):
+    import json
+    import random
+
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        text = f.read()
+    changed = json.loads(text)
+    changed["normalizer"] = {"type": "Lowercase"}
+    pieces = ["a", "It's", "'S", "É", "É", "İ", "ΣΑΣ", "½", "12", "<|endoftext|>", "<|ENDOFTEXT|>", "</w>", "…", "“x”", "\x00", "\x1c", "\x85", "\u3000", "中文", "かな", "한국어", "Ё", "Ÿ", "ŉ", "ﬁ", "a_b", "\x0b", "µ", "ß", "\n", "\t", "don't"]
+    draw = random.Random(7)
+    texts = ["".join(draw.choice(pieces) + draw.choice(["", " ", "\n"]) for _ in range(draw.randrange(14))) for _ in range(3000)]
+    texts += [r["text"] or "" for r in docs.select("text").collect()] + ["ab" * 200_000]
+    for known, vocab in ((True, text), (False, json.dumps(changed))):
+        own, library = token_files.WordEncoder(vocab), Tokenizer.from_str(vocab)
+        assert (own.words is not None) == known
+        assert all(own.encode(t) == array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts)
+
+
 @pytest.mark.parametrize("n", [0, 1, 239, 240, 241, 5000, 70_000])
 def test_packed_words_come_back(n):
     rng = np.random.default_rng(n)
