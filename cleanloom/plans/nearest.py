@@ -13,7 +13,7 @@ from collections.abc import Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cleanloom.plans.grouping import Grouping, spread_by
@@ -207,7 +207,13 @@ def _blocked(g: Grouping, queries, donors, names, order, row_id, schema, k) -> D
     boxes = pool.groupBy(*box).agg(
         *[f(c).alias(f"{n}{i}") for i, c in enumerate(coordinates) for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
     )
-    visits = join_on(asked, boxes, keys, "inner").where(
+    # many queries meet many boxes of their group: its boxes are copied once per share of its queries
+    shares = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_shares"))
+    asked = g.attach(asked, shares).withColumn("_share", F.pmod(F.xxhash64(*row_id), F.col("_shares"))).drop("_shares")
+    boxes = g.attach(boxes, shares).withColumn(
+        "_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_shares") - 1))
+    ).drop("_shares")
+    visits = join_on(asked, boxes, [*keys, "_share"], "inner").where(
         ((F.col("_pattern") != F.col("_home_pattern")) | (F.col("_block") != F.col("_home")))
         & _can_help(coordinates)
         & (_supplies(coordinates, targets))
@@ -222,8 +228,12 @@ def _blocked(g: Grouping, queries, donors, names, order, row_id, schema, k) -> D
         "_slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_slices") - 1))
     )
     more = _meet(sliced_q, sliced_d, [*box, "_slice"], search, schema)
-    merged = F.slice(F.array_sort(F.flatten(F.collect_list("_found"))), 1, k)
-    return first.unionByName(more).groupBy(*ids, "_target").agg(merged.alias("_found"))
+    # each visited box gives up to k entries; the k nearest are kept before any list is built
+    one = [*ids, "_target"]
+    entries = first.unionByName(more).select(*one, F.explode_outer("_found").alias("_entry"))
+    nearer = Window.partitionBy(*one).orderBy(F.col("_entry").asc_nulls_last())
+    best = entries.withColumn("_place", F.row_number().over(nearer)).where(F.col("_place") <= k)
+    return best.groupBy(*one).agg(F.array_sort(F.collect_list("_entry")).alias("_found"))
 
 
 def _can_help(coordinates: Sequence[str]) -> Column:
