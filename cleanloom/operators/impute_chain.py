@@ -30,6 +30,8 @@ from cleanloom.session import cut
 PENALTY = 1e-3
 ROUNDS = 10
 TOLERANCE = 1e-3
+# expectation maximisation: the most rounds, and the largest move of a mean or mean product that counts as none
+EM_ROUNDS, EM_TOLERANCE = 50, 1e-3
 # rounds of a chain of ridge regressions at most; each group stops as soon as a round moves nothing by more than TOLERANCE
 MOST_ROUNDS = 100
 # rows of one group that one task may hold as a matrix
@@ -311,10 +313,14 @@ def impute_em(
     columns: Sequence[str],
     row_id: Sequence[str],
     is_train: Column | None = None,
-    rounds: int = ROUNDS,
+    rounds: int = EM_ROUNDS,
+    tolerance: float = EM_TOLERANCE,
 ) -> DataFrame:
     """I7. Conditional means under a Gaussian per group, fitted by expectation maximisation on the training rows.
 
+    A group is done when no mean or mean product of its standardised columns moves by more than ``tolerance`` in a round,
+    and is left out of later rounds; after ``rounds`` rounds the last fit is taken.
+
     A round sums products of the completed incomplete rows plus their conditional covariances and adds the sums of
     the complete rows, which are taken once.
     """
@@ -337,15 +343,24 @@ def impute_em(
     start[range(d + 1), range(d + 1)] = 1.0
     first = F.array(*[F.lit(float(v)) for v in start[np.triu_indices(d + 1)]])
     model = rows.select(*keys_).distinct().withColumn("_gram", first)
-    done = None
-    for step in range(rounds):
-        done = g.attach(rows, model).withColumn("_e", expect("_row", "_gram"))
-        if step == rounds - 1:
-            break
+    settled = None
+    for _ in range(rounds):
+        done = g.attach(rows, model).where(F.col("_gram").isNotNull()).withColumn("_e", expect("_row", "_gram"))
         sums = done.where("_train").groupBy(*keys_).agg(
             F.array(*[F.sum(F.col("_e.sums")[i]) for i in range(width)]).alias("_more")
         )
-        model = cut(_sum_grams(complete, sums, keys_, width))
+        fitted = join_on(model.withColumnRenamed("_gram", "_old"), _sum_grams(complete, sums, keys_, width), keys_, "left")
+        moved = F.array_max(F.transform(F.arrays_zip("_gram", "_old"), lambda e: F.abs(e["_gram"] / F.col("_gram")[0] - e["_old"] / F.col("_old")[0])))
+        # groups without a training row keep what they began with
+        model = cut(
+            fitted.select(*keys_, F.coalesce("_gram", "_old").alias("_gram"), F.coalesce(moved > tolerance, F.lit(False)).alias("_moving"))
+        )
+        still = model.where(~F.col("_moving")).drop("_moving")
+        settled = still if settled is None else settled.unionByName(still)
+        model = model.where("_moving").drop("_moving")
+        if model.isEmpty():
+            break
+    done = g.attach(rows, model if settled is None else settled.unionByName(model)).withColumn("_e", expect("_row", "_gram"))
     state = done.select(*ids, *[f"_{n}{i}" for n in ("m", "s") for i in range(d)], *[F.col("_e.filled")[i].alias(z[i]) for i in range(d)])
     out = _finished(marked, state, ids, columns).drop("_train")
     return out if keys else out.drop("_all")

@@ -170,3 +170,50 @@ def test_sweep_outliers_against_direct_computation(spark):
                 w, b = direct_ridge(z[train, :2], z[train, 2], got["alpha"], got["fit_intercept"])
                 want = np.sqrt(((z[~train, 2] - z[~train, :2] @ w - b) ** 2).mean())
                 assert abs(got["rmse"] - want) < 1e-8, (imputer, detector, repair)
+
+
+def plain_em(x, train, tolerance, rounds):
+    """Filled rows and the number of rounds, a row at a time."""
+    seen = np.where(train[:, None], x, np.nan)
+    m, s = np.nanmean(seen, axis=0), np.nanstd(seen, axis=0)
+    z, d = (x - m) / s, x.shape[1]
+    mean, product = np.zeros(d), np.eye(d)
+
+    def expect():
+        cov = product - np.outer(mean, mean) + 1e-6 * np.eye(d)
+        filled, extra = z.copy(), np.zeros((len(z), d, d))
+        for i, row in enumerate(z):
+            u, o = np.flatnonzero(np.isnan(row)), np.flatnonzero(~np.isnan(row))
+            w = cov[np.ix_(u, o)] @ np.linalg.inv(cov[np.ix_(o, o)])
+            filled[i, u] = mean[u] + w @ (row[o] - mean[o])
+            extra[i][np.ix_(u, u)] = cov[np.ix_(u, u)] - w @ cov[np.ix_(o, u)]
+        return filled, extra
+
+    for used in range(1, rounds + 1):
+        filled, extra = expect()
+        old = np.concatenate([mean, product.ravel()])
+        mean = filled[train].mean(axis=0)
+        product = (filled[:, :, None] * filled[:, None, :] + extra)[train].mean(axis=0)
+        if np.abs(np.concatenate([mean, product.ravel()]) - old).max() <= tolerance:
+            break
+    return expect()[0] * s + m, used
+
+
+def test_em_stops_by_group_as_a_plain_version(spark):
+    rng = np.random.default_rng(9)
+    groups, rows = {}, [("none", 1000, 1.0, None, 2.0, False)]
+    for k, share in (("close", 0.02), ("loose", 0.5)):
+        x = rng.normal(size=(60, 3)) @ rng.normal(size=(3, 3))
+        x[rng.random(x.shape) < share] = np.nan
+        x[np.isnan(x).all(axis=1)] = 0.5
+        groups[k] = x
+        rows += [(k, i, *[None if np.isnan(c) else float(c) for c in r], bool(i % 5)) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "k string, id long, a double, b double, c double, train boolean")
+    out = impute_em(df, ["k"], ["a", "b", "c"], ["id"], F.col("train"), rounds=8, tolerance=0.02)
+    used = set()
+    for k, x in groups.items():
+        want, n = plain_em(x, np.arange(60) % 5 > 0, 0.02, 8)
+        used.add(n)
+        assert np.allclose(matrix(out.where(F.col("k") == k)), want, atol=1e-7)
+    assert len(used) == 2
+    assert out.where("k = 'none'").select("a", "c").first() == (1.0, 2.0) and out.count() == 121
