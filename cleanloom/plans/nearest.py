@@ -208,7 +208,7 @@ def _blocked(g: Grouping, queries, donors, names, order, row_id, schema, k) -> D
         *[f(c).alias(f"{n}{i}") for i, c in enumerate(coordinates) for f, n in ((F.min, "_lo"), (F.max, "_hi"))]
     )
     # many queries meet many boxes of their group: its boxes are copied once per share of its queries
-    shares = asked.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_shares"))
+    shares = queries.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_shares"))
     asked = g.attach(asked, shares).withColumn("_share", F.pmod(F.xxhash64(*row_id), F.col("_shares"))).drop("_shares")
     boxes = g.attach(boxes, shares).withColumn(
         "_share", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_shares") - 1))
