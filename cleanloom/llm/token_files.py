@@ -8,10 +8,11 @@ import uuid
 import zlib
 from array import array
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ BITS = np.array([64, 0, 0, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30], np.int64
 MAGIC = b"S8BT0001"
 #: Ids in a block; a block starts with a new word, so blocks are read apart.
 BLOCK = 65_536
+#: Bytes of text whose distinct runs are encoded together.
+PORTION = 2_000_000
 
 
 def pack_block(ids: np.ndarray) -> np.ndarray:
@@ -155,6 +158,7 @@ SMALL = "a-z\u00df-\u00f6\u00f8-\u00ff\u0100-\u012f\u0131-\u017f\u0400-\u045f\u3
 #: Characters that are neither those letters, their capitals nor plain digits, signs and white space.
 ODD = re.compile(f"[^\x00-\x1b\x20-\x7f\u00a1-\u00a9\u00ab-\u00b1\u00b4\u00b6-\u00b8\u00bb\u00bf-\u00de\u00f7\u2010-\u2027\u2030-\u205e{SMALL}]")
 PLAIN_WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{SMALL}]+|[0-9]|[^\s{SMALL}0-9]+")
+PLAIN_WORD_OR_END = re.compile(rf"{PLAIN_WORD.pattern}|\n")
 
 
 def word_ranks(vocabulary: dict) -> dict[bytes, int] | None:
@@ -188,11 +192,12 @@ def word_ranks(vocabulary: dict) -> dict[bytes, int] | None:
 
 
 class WordEncoder:
-    """The library's ids of a text, as 32-bit numbers.
+    """The library's ids of texts, as 32-bit numbers.
 
-    With a vocabulary that ``word_ranks`` knows, words of plain characters are cut here and merged in one go, an end mark
-    behind each. Normalising and cutting never look across white space there, so runs with other characters go to
-    the library one by one. With any other vocabulary the library encodes whole texts.
+    With a vocabulary that ``word_ranks`` knows, normalising and cutting never look across white space, so a text is
+    the sequence of its runs without any, and the distinct runs of many texts are encoded once. Words of plain runs
+    are cut here and merged in one go, an end mark behind each; runs with other characters go to the library one
+    by one. With any other vocabulary the library encodes whole texts.
     """
 
     def __init__(self, vocabulary: str):
@@ -208,26 +213,65 @@ class WordEncoder:
         bound = any(t["content"].split() != [t["content"]] or any(t.get(o) for o in ("lstrip", "rstrip", "single_word", "normalized")) for t in added)
         ranks = None if bound else word_ranks(parsed)
         self.words = ranks and tiktoken.Encoding("words", pat_str="[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
+        # no word holds a line feed, so its id tells where a run ends
+        self.line_end = ranks and ranks[b"\n "]
 
     def by_library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def by_words(self, text: str) -> bytes:
-        words = PLAIN_WORD.findall(text.lower())
-        return self.words.encode_to_numpy(" ".join(words) + " ").astype("<u4", copy=False).tobytes() if words else b""
-
     def is_plain(self, text: str) -> bool:
         return not ODD.search(text) and not self.special.search(text)
 
-    def encode(self, text: str) -> bytes:
+    def encode_runs(self, runs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids, and of each run the place of its first id among them and their number."""
+        text, odd = self.lines(runs), {}
+        if not self.is_plain(text):
+            odd = {i: self.by_library(r) for i, r in enumerate(text.split("\n")[:-1]) if not self.is_plain(r)}
+            text = "\n".join(["" if i in odd else r for i, r in enumerate(text.split("\n"))])
+        ids = self.words.encode_to_numpy(" ".join(PLAIN_WORD_OR_END.findall(text.lower())) + " " if text else "").astype("<u4", copy=False)
+        ends = np.flatnonzero(ids == self.line_end)
+        starts = np.concatenate([[0], ends + 1])[:-1]
+        counts = ends - starts
+        if odd:
+            at, own = list(odd), np.array([len(x) // 4 for x in odd.values()], np.int64)
+            starts[at], counts[at] = len(ids) + np.cumsum(own) - own, own
+            ids = np.concatenate([ids, np.frombuffer(b"".join(odd.values()), "<u4")])
+        return ids, starts, counts
+
+    @staticmethod
+    def lines(runs: pa.Array) -> str:
+        """The runs, a line feed behind each."""
+        whole = pa.LargeListArray.from_arrays(pa.array([0, len(runs)], pa.int64()), runs)
+        return pc.binary_join(whole, pa.scalar("\n", runs.type))[0].as_py() + "\n" if len(runs) else ""
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Packed ids of each text; a null text has none."""
         if self.words is None:
-            return self.by_library(text)
-        if self.is_plain(text):
-            return self.by_words(text)
-        return b"".join(
-            self.by_words(" ".join(runs)) if plain else b"".join(map(self.by_library, runs))
-            for plain, runs in groupby(re.split(r"[ \t\n\r]+", text), self.is_plain)
-        )
+            return [self.by_library(t or "") for t in texts.to_pylist()]
+        runs = pc.ascii_split_whitespace(texts.fill_null(""))
+        distinct = runs.flatten().dictionary_encode()
+        ids, starts, counts = self.encode_runs(distinct.dictionary)
+        run = distinct.indices.to_numpy()
+        sizes = counts[run]
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        places = np.repeat(starts[run] - ends[:-1], sizes)
+        places += np.arange(len(places))
+        bounds = ends[np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy())])].tolist()
+        ids = ids[places]
+        return [ids[a:b].tobytes() for a, b in pairwise(bounds)]
+
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def portions(texts: pa.Array) -> Iterator[slice]:
+    """Runs of texts of about ``PORTION`` bytes, so what is cut from them stays small in memory."""
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy())
+    start = 0
+    while start < len(ends):
+        end = int(np.searchsorted(ends, PORTION + (ends[start - 1] if start else 0))) + 1
+        yield slice(start, end)
+        start = end
 
 
 _encoders: dict[int, WordEncoder] = {}
@@ -266,6 +310,7 @@ def write_tokens(
             nonlocal number, kept, held
             doc_ids = [d for d, _ in kept]
             counts = [len(x) // 4 for _, x in kept]
+            pa.default_memory_pool().release_unused()  # what the portions took
             data = write_file(doc_ids, counts, np.frombuffer(b"".join([x for _, x in kept]), "<u4"))
             name = f"part-{TaskContext.get().partitionId():06d}-{number:06d}.s8b"
             own = f"{path}/.{name}.{uuid.uuid4().hex}"
@@ -276,12 +321,12 @@ def write_tokens(
             return pa.record_batch({"file": [name], "n_docs": [len(doc_ids)], "n_ids": [sum(counts)]})
 
         for batch in batches:
-            for d, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                x = encoder.encode(text.as_py() or "")
-                kept.append((d, x + end))
-                held += len(x)
-                if held >= 32_000_000:
-                    yield flush()
+            for part in portions(batch.column(1)):
+                for d, x in zip(batch.column(0)[part].to_pylist(), encoder.encode_all(batch.column(1)[part]), strict=True):
+                    kept.append((d, x + end))
+                    held += len(x)
+                    if held >= 32_000_000:
+                        yield flush()
         if kept:
             yield flush()
 

@@ -93,6 +93,28 @@ def test_words_as_the_library(docs):
         assert all(own.encode(t) == array("I", library.encode(t, add_special_tokens=False).ids).tobytes() for t in texts)
 
 
+def test_a_run_is_encoded_once(monkeypatch):
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    with open(vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        vocab = f.read()
+    own, library = token_files.WordEncoder(vocab), Tokenizer.from_str(vocab)
+    seen, by_library, merge = [], own.by_library, own.words.encode_to_numpy
+    monkeypatch.setattr(own, "by_library", lambda run: seen.append(run) or by_library(run))
+    monkeypatch.setattr(own.words, "encode_to_numpy", lambda words: seen.append(words) or merge(words))
+    text = "It's ΣΑΣ, <|endoftext|>\x0b\u3000x\x85 \t" * 100 + "12 It's"
+    ids = lambda t: array("I", library.encode(t or "", add_special_tokens=False).ids).tobytes()
+    assert own.encode(text) == ids(text)
+    assert sum(map(len, seen)) < 100  # 2,710 when each run is encoded where it stands
+    texts = [None, "", " ", "a\nb", text, "İ", None, "e\u0301 \u0301", "b a", "", *[f"n{i} a" for i in range(50)], "ab" * 3000, "\n\r\x0c"]
+    for table in (pa.array(texts), pa.array(["z", *texts, "z"])[1:-1], pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        assert own.encode_all(table) == [ids(t) for t in table.to_pylist()]
+        for size in (1, 40, 10**6):
+            monkeypatch.setattr(token_files, "PORTION", size)
+            assert [t for p in token_files.portions(table) for t in table[p].to_pylist()] == table.to_pylist()
+
+
 @pytest.mark.parametrize("n", [0, 1, 239, 240, 241, 5000, 70_000])
 def test_packed_words_come_back(n):
     rng = np.random.default_rng(n)
