@@ -1,6 +1,7 @@
 """Grouped regression trees, chained filling with them and boosted trees against plain versions."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -148,3 +149,84 @@ def test_boosting_follows_plain_rounds_and_learns(spark):
     whole = {r["i"]: r["prediction"] for r in T.boost(table, [], ["p", "q", "r"], "y", ["i"], F.col("is_train")).collect()}
     error = lambda p: float(np.sqrt(np.mean([(p[r["i"]] - r["y"]) ** 2 for r in rows if r["y"] is not None and not r["is_train"]])))
     assert error(whole) < 0.8 * np.nanstd(y)
+
+
+def test_trees_of_small_groups_grow_in_one_go(monkeypatch):
+    rng = np.random.default_rng(11)
+    sizes = [1, 40, 7, 90, 3]
+    ends, n = np.r_[0, np.cumsum(sizes)], sum(sizes)
+    x = rng.integers(0, [9, 30, 4], (n, 3)).astype(float)
+    y, train, names = np.round(x @ [3.0, 1.0, -2.0] + rng.normal(size=n), 2), rng.random(n) < 0.8, rng.integers(0, 1 << 50, n)
+    y[ends[1] : ends[2]] *= 1e12  # one group of large values takes no digits from the others
+    train[0], train[ends[2] : ends[3]] = True, False
+    parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+    own = np.concatenate([codes(x[p], train[p]) for p in parts])
+    growth = T.Growth(6, 2, 1, 1.0)
+    calls, grow = [], T.grow_together
+    monkeypatch.setattr(T, "grow_together", lambda *a, **k: calls.append(1) or grow(*a, **k))
+    got = T.boosted_together(np.ascontiguousarray(own.T), y, train, names, ends, 8, growth, 0.3, 0.9)
+    assert len(calls) == 8
+    monkeypatch.undo()
+    for p in parts:
+        if not train[p].any():
+            assert np.isnan(got[p]).all()
+            continue
+        want = np.full(len(y[p]), y[p][train[p]].mean())
+        for t in range(8):
+            want += 0.3 * plain_tree(own[p], y[p] - want, train[p] & T.drawn(names[p], t, 0.9), 6, 1.0)
+        assert np.allclose(got[p], want)
+
+
+def test_only_asked_values_are_worked_out():
+    rng = np.random.default_rng(12)
+    x, y, fit = rng.integers(0, 50, (300, 3)), rng.normal(size=300), rng.random(300) < 0.9
+    asked = np.zeros(300, bool)
+    asked[[3, 77, 150]] = True
+    root = np.zeros(300, np.int64)
+    whole = T.grow_tree(x, y, fit, T.Growth())
+    some = T.grow_together(np.ascontiguousarray(x.T), y, fit, root, T.Growth(), asked)
+    assert np.array_equal(whole[asked], some[asked]) and not some[~asked].any()
+
+
+def test_chains_of_several_groups_are_those_of_each():
+    rng = np.random.default_rng(13)
+    sizes = [1, 60, 2, 45, 30]
+    ends, n = np.r_[0, np.cumsum(sizes)], sum(sizes)
+    z = np.round(rng.normal(size=(n, 4)), 2)
+    z[:, 3] = z[:, 0] - z[:, 1]
+    z[rng.random((n, 4)) < 0.1] = np.nan
+    z[ends[2] : ends[3]] = np.nan
+    train = rng.random(n) < 0.8
+    got = T.chains_with_trees(z, train, ends, 12, 1e-3)
+    for a, b in zip(ends[:-1], ends[1:], strict=True):
+        assert np.allclose(got[a:b], T.chain_with_trees(z[a:b], train[a:b], 12, 1e-3))
+        missing = np.isnan(z[a:b])
+        want = np.where(missing, 0.0, z[a:b])
+        cuts = [T.cut_values(np.where(train[a:b], z[a:b, j], np.nan)) for j in range(4)]
+        largest = np.abs(want[missing.any(axis=1)]).max(initial=0.0)
+        for _ in range(12):
+            change = 0.0
+            for j in np.flatnonzero(missing.any(axis=0) & (train[a:b, None] & ~missing).any(axis=0)):
+                seen = np.column_stack([T.codes_of(want[:, i], cuts[i]) for i in range(4) if i != j])
+                new = plain_tree(seen, want[:, j], train[a:b] & ~missing[:, j])[missing[:, j]]
+                change = max(change, np.abs(new - want[missing[:, j], j]).max())
+                want[missing[:, j], j] = new
+            if change <= 1e-3 * largest:
+                break
+        assert np.allclose(got[a:b], want)
+
+
+def test_small_groups_reach_a_task_together_and_whole(spark):
+    from cleanloom.plans.grouping import groups_together
+
+    table = spark.createDataFrame([(k, i) for k in ("a", None, "b", "c") for i in range(4)] + [("lone", 0)], "k string, v long").coalesce(1)
+
+    def work(rows, ends):
+        parts = [slice(a, b) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+        keys, values = rows.column("k").to_pylist(), rows.column("v").to_pylist()
+        assert all(len(set(keys[p])) == 1 and len(set(values[p])) == len(values[p]) for p in parts)
+        return rows.append_column("n", pa.array(np.repeat(np.diff(ends), np.diff(ends)))).append_column("calls", pa.array([len(parts)] * len(rows)))
+
+    out = groups_together(table, ["k"], work, "k string, v long, n long, calls long").collect()
+    assert len(out) == 17 and all(r["n"] == (1 if r["k"] == "lone" else 4) for r in out)
+    assert groups_together(table.limit(0), ["k"], work, "k string, v long, n long, calls long").count() == 0
