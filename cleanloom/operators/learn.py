@@ -7,17 +7,15 @@ from the sums of products of all option columns. The data is read once; what is
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cleanloom.operators.search import PENALTY, SPLITS, Chain, chain_name, option_sums
-from cleanloom.plans import gram as G
-from cleanloom.plans.grouping import Grouping, grouping
+from cleanloom.operators.search import PENALTY, SPLITS, Chain, chain_name, solve_by_key
+from cleanloom.plans.grouping import Grouping
 
 # fixed values: the most steps and the first step length; a key stops by itself when no shorter step lowers its loss
 STEPS, RATE = 2000, 0.1
@@ -124,21 +122,11 @@ def learn_probabilities(
     best_tr_loss, best_test_loss of the mixture, choice_val_loss of the choices alone, and losses (on the way). Losses
     are in units of the standardised training target and never end above the start.
     """
-    g = grouping(df, keys)
-    sums = option_sums(df, g, features, target, chains, row_id, split, target_as)
-    by = g.keys or ["_all"]
-    sums = sums if g.keys else sums.withColumn("_all", F.lit(0))
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sums.schema if f.name in by)
     labels, d, m = [chain_name(c) for c in chains], len(features), len(chains)
     first = np.full((d, m), np.log((1 - start_probability) / max(1, m - 1))) if m > 1 else np.zeros((d, 1))
     first[:, start] = np.log(start_probability) if m > 1 else 0.0
 
-    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
-        size = d * m + 2
-        total = {s: np.zeros((size, size)) for s in SPLITS}
-        for s, packed in zip(pdf[split], pdf["gram"], strict=True):
-            if s in total:
-                total[s] += G.square(np.asarray(packed)[None])[0]
+    def learn(total: Mapping[str, np.ndarray]) -> dict[str, object]:
         means = total["train"][0, 1:] / max(total["train"][0, 0], 1.0)
         train, val, test = (Sums.about(total[s], means) for s in SPLITS)
         logits, losses = descend(first, train, val, steps)
@@ -146,21 +134,17 @@ def learn_probabilities(
         u = spread(p).T @ weights(p, train)
         choice = p.argmax(axis=1)
         alone = np.eye(m)[choice]
-        out = pdf[by].head(1).astype(object).assign(
-            start_val_loss=losses[0], best_val_loss=losses[-1], best_tr_loss=train.loss(u), best_test_loss=test.loss(u),
-            choice_val_loss=val.loss(spread(alone).T @ weights(alone, train)),
-        )
-        out["choices"] = pd.Series([[labels[o] for o in choice]], index=out.index, dtype=object)
-        out["probabilities"] = pd.Series([[list(map(float, row)) for row in p]], index=out.index, dtype=object)
-        out["losses"] = pd.Series([losses], index=out.index, dtype=object)
-        return out
-
-    result = sums.groupBy(*by).applyInPandas(
-        learn,
-        f"{types}, start_val_loss double, best_val_loss double, best_tr_loss double, best_test_loss double, choice_val_loss double, "
-        "choices array<string>, probabilities array<array<double>>, losses array<double>",
+        return {
+            "start_val_loss": losses[0], "best_val_loss": losses[-1], "best_tr_loss": train.loss(u), "best_test_loss": test.loss(u),
+            "choice_val_loss": val.loss(spread(alone).T @ weights(alone, train)), "choices": [labels[o] for o in choice],
+            "probabilities": [list(map(float, row)) for row in p], "losses": losses,
+        }
+
+    columns = (
+        "start_val_loss double, best_val_loss double, best_tr_loss double, best_test_loss double, choice_val_loss double, "
+        "choices array<string>, probabilities array<array<double>>, losses array<double>"
     )
-    return result if g.keys else result.drop("_all")
+    return solve_by_key(df, keys, features, target, chains, row_id, learn, columns, split, target_as)
 
 
 def probability_log(result: DataFrame, keys: Sequence[str], features: Sequence[str], chains: Sequence[Chain]) -> DataFrame:
