@@ -62,3 +62,30 @@ def test_classify_blocked_equals_plain(spark, monkeypatch):
     monkeypatch.setattr(nearest_plan, "BLOCK", 13)
     spread = sorted(map(tuple, knn_classify(df, [], ["a", "b"], "y", ["id"], F.col("train"), block=30).collect()))
     assert plain == spread and len(plain) > 10
+
+
+def test_chains_of_neighbours_are_the_same_in_tasks_and_in_rounds(spark, monkeypatch):
+    from cleanloom.operators import impute_chain as chain
+
+    cuts, cut = [], chain.cut
+    monkeypatch.setattr(chain, "cut", lambda df: cuts.append(1) or cut(df))
+    rng = np.random.default_rng(5)
+    rows = []
+    for key, n in (("a", 40), (None, 25), ("gone", 8), ("lone", 1)):
+        x = rng.integers(0, 12, (n, 3)).astype(float)
+        gone = rng.random((n, 3)) < 0.2
+        if key == "gone":
+            gone[:, 2] = True
+        rows += [(key, i % 7, i, *[None if gone[i, j] else float(x[i, j]) for j in range(3)], None if i == 3 else i % 5 != 0) for i in range(n)]
+    rows += [r for r in rows if r[0] is None and r[2] < 4]  # rows that come twice
+    table = spark.createDataFrame(rows, "k string, g long, i long, p double, q double, r double, t boolean")
+    args = (["k"], ["p", "q", "r"], ["g", "i"], F.col("t"))
+    key = lambda r: str(tuple(r))
+    small = chain.impute_chain_neighbours(table, *args)
+    got = sorted(small.collect(), key=key)
+    assert not cuts  # the rows are not written before every search
+    large = sorted(chain.impute_chain_neighbours(table, *args, group_rows=5).collect(), key=key)
+    assert small.columns == table.columns and len(got) == len(large)
+    for a, b in zip(got, large, strict=True):
+        for c in table.columns:
+            assert a[c] == b[c] or abs(a[c] - b[c]) < 1e-9, (a, b)
