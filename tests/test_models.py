@@ -217,3 +217,17 @@ def test_em_stops_by_group_as_a_plain_version(spark):
         assert np.allclose(matrix(out.where(F.col("k") == k)), want, atol=1e-7)
     assert len(used) == 2
     assert out.where("k = 'none'").select("a", "c").first() == (1.0, 2.0) and out.count() == 121
+
+
+def test_samples_of_trees_are_drawn_together(monkeypatch):
+    from cleanloom.operators import forest
+
+    rng = np.random.default_rng(8)
+    values, rows = rng.integers(0, 60, 700) / 4, rng.integers(0, 1 << 52, 700)
+    whole = forest.outlier_bounds(values, rows, 5)
+    calls, hashes = [], forest.hashes_of_trees
+    monkeypatch.setattr(forest, "hashes_of_trees", lambda r, trees: calls.append(len(trees)) or hashes(r, trees))
+    assert forest.outlier_bounds(values, rows, 5) == whole and calls == [forest.TREES]
+    monkeypatch.setattr(forest, "CELLS", 3 * 700)
+    assert forest.outlier_bounds(values, rows, 5) == whole and max(calls[1:]) == 3
+    assert all(np.array_equal(hashes(rows, range(9))[t], forest.tree_hashes(rows, t)) for t in range(9))
